@@ -7,90 +7,128 @@ term frequency; the logarithm of the inverse share of records with the term make
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame, functions as F
 
-_TOKEN = regex.compile(r"[\p{Han}]+|[\p{L}\p{N}&&[^\p{Han}]]+", regex.V1)
-_DIVIDED = regex.compile(r"(?<=\p{L})[-\u00AC\u00AD][^\S\n]*\n\s*(?=\p{Ll})")
+from ..session import cut
+
+_TOKEN = re.compile("[\u4e00-\u9fff]+|[^\\W_\u4e00-\u9fff]+")
+_DIVIDED = re.compile(r"(?<=\w)[-\u00ac\u00ad][^\S\n]*\n\s*(?=[a-z\u00df-\u00ff])")
 SALTS = 8
+#: At most so many terms can each make up one in so many of all postings.
+HOT = 4096
 
 
 def tokens(text: str) -> list[str]:
     """Terms in text order: lower-case words and numbers of two or more characters, Chinese as overlapping pairs."""
     out: list[str] = []
-    for m in _TOKEN.finditer(_DIVIDED.sub("", text).lower()):
-        t = m.group()
-        if "一" <= t[0] <= "鿿":
+    for t in _TOKEN.findall((_DIVIDED.sub("", text) if "\n" in text else text).lower()):
+        if "\u4e00" <= t[0] <= "\u9fff":
             out += [t[i : i + 2] for i in range(len(t) - 1)]
         elif len(t) > 1:
             out.append(t)
     return out
 
 
-def degrees(words: list[str], window: int) -> dict[str, int]:
+def degrees(words: list[str], window: int) -> Counter:
     """Distinct neighbours of each term among the terms less than `window` positions away."""
-    near: dict[str, set[str]] = {}
-    for i, a in enumerate(words):
-        own = near.setdefault(a, set())
-        for b in words[i + 1 : i + window]:
-            if a != b:
-                own.add(b)
-                near.setdefault(b, set()).add(a)
-    return {w: len(s) for w, s in near.items()}
+    edges = set()
+    for k in range(1, window):
+        edges.update(zip(words, words[k:]))
+    edges |= {(b, a) for a, b in edges}
+    return Counter(a for a, b in edges if a != b)
+
+
+_RECORD = "paper_id bigint, node_id string, terms array<string>, degrees array<int>"
 
 
-def term_weights(terms: DataFrame, nodes: DataFrame, window: int = 4) -> DataFrame:
-    """Weight of every term of every record: paper_id, node_id, term (as stored), degree, df, n_records, weight.
+def record_graphs(terms: DataFrame, nodes: DataFrame, window: int = 4) -> DataFrame:
+    """One row for each record with postings: paper_id, node_id, its distinct terms as stored and their degrees.
 
     terms: postings paper_id, node_id, term, tf; nodes: paper_id, node_id, title, body, from which text order
     comes. Rows of a record and term are one, however often delivered and in whatever case; the lower-case
     spelling is reported if it is stored, else the first one. Null or blank terms and null keys give no rows. A
     null or zero tf does not matter where the text has the term; a term that the text lacks (title of a lost
-    copy, damaged word) gets the degree its tf could give at most in half the window. Empty tables give none.
+    copy, damaged word) gets the largest degree that half a window for each of its tf could give. Copies of a
+    node are one record, the first text counts. Empty tables give no rows. The result is cut from its lineage.
     """
     window = max(2, window)
+    stored = (
+        terms.where("paper_id is not null and node_id is not null and length(trim(term)) > 0")
+        .groupBy("paper_id", "node_id")  # a record is bounded by its own text; lists are merged before the shuffle
+        .agg(F.collect_list("term").alias("stored"), F.collect_list(F.coalesce(F.col("tf").cast("int"), F.lit(0))).alias("tfs"))
+    )
+    texts = nodes.where("paper_id is not null and node_id is not null").select("paper_id", "node_id", F.concat_ws("\n\n", "title", "body").alias("text")).where("length(text) > 0")
 
-    def edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def graphs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for p, n, text in zip(pdf["paper_id"], pdf["node_id"], pdf["text"]):
-                out += [(p, n, t, d) for t, d in degrees(tokens(text), window).items()]
-            yield pd.DataFrame(out, columns=["paper_id", "node_id", "key", "degree"]).astype({"paper_id": "int64", "degree": "int32"})
-
-    graph = (
-        nodes.where("paper_id is not null and node_id is not null")
-        .select("paper_id", "node_id", F.concat_ws("\n\n", "title", "body").alias("text"))
-        .where("length(text) > 0")
-        .mapInPandas(edges, "paper_id bigint, node_id string, key string, degree int")
-        .select("paper_id", "node_id", "key", F.lit(None).cast("string").alias("term"), F.lit(None).cast("int").alias("tf"), "degree")
-    )
-    stored = terms.where("paper_id is not null and node_id is not null and length(trim(term)) > 0").select(
-        "paper_id", "node_id", F.lower("term").alias("key"), "term", F.col("tf").cast("int").alias("tf"), F.lit(None).cast("int").alias("degree")
-    )
-    # one shuffle merges postings and graph: a union with partial aggregation instead of a join
-    merged = (
-        stored.unionByName(graph)
-        .groupBy("paper_id", "node_id", "key")
-        .agg(F.max("tf").alias("tf"), F.max("degree").alias("degree"), F.min(F.when(F.col("term").isNotNull(), F.struct((F.col("term") != F.col("key")).alias("other"), "term"))).alias("s"))
-        .where("s is not null")
-        .select("paper_id", "node_id", "key", F.col("s.term").alias("term"), F.coalesce("degree", F.greatest(F.lit(0), F.coalesce("tf", F.lit(0))) * (window - 1)).alias("degree"))
-    )
-    counts = merged.groupBy("key").agg(F.count(F.lit(1)).alias("df"))
-    total = merged.groupBy("paper_id", "node_id").agg(F.lit(1).alias("one")).agg(F.count(F.lit(1)).alias("n_records"))
+            for p, n, stored, tfs, text in zip(pdf["paper_id"], pdf["node_id"], pdf["stored"], pdf["tfs"], pdf["text"]):
+                own: dict[str, tuple[str, int]] = {}
+                for t, f in zip(stored, tfs):
+                    key = t.lower()
+                    if key in own:
+                        a, b = own[key]
+                        own[key] = (a if a == key else t if t == key else min(a, t), max(b, f))
+                    else:
+                        own[key] = (t, f)
+                found = degrees(tokens(text), window) if text is not None else {}
+                out.append((p, n, [t for t, _ in own.values()], [found.get(k) or max(0, f) * (window - 1) for k, (_, f) in own.items()]))
+            yield pd.DataFrame(out, columns=["paper_id", "node_id", "terms", "degrees"])
+
+    # copies of a node give a record more than once with the same postings: the first text is kept
+    joined = stored.join(texts.dropDuplicates(["paper_id", "node_id"]), ["paper_id", "node_id"], "left")
+    return cut(joined.mapInPandas(graphs, _RECORD))
+
+
+def _counts(records: DataFrame) -> DataFrame:
+    return records.select(F.explode("terms").alias("t")).groupBy(F.lower("t").alias("key")).agg(F.count(F.lit(1)).alias("df"))
+
+
+def term_weights(records: DataFrame) -> DataFrame:
+    """paper_id, node_id, term, degree, df, n_records, weight of every term of every record: degree x ln(n_records / df)."""
+    n = records.count()
     # a term may be in a third of all records: its postings are salted, the one row with its count is repeated
-    salted = counts.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    salted = _counts(records).withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    rows = records.select("paper_id", "node_id", F.explode(F.arrays_zip("terms", "degrees")).alias("x")).select("paper_id", "node_id", F.col("x.terms").alias("term"), F.col("x.degrees").alias("degree"))
     return (
-        merged.withColumn("salt", F.pmod(F.hash("paper_id", "node_id"), F.lit(SALTS)))
+        rows.withColumn("key", F.lower("term"))
+        .withColumn("salt", F.pmod(F.hash("paper_id", "node_id"), F.lit(SALTS)))
         .join(salted, ["key", "salt"])
-        .crossJoin(F.broadcast(total))  # one row
-        .select("paper_id", "node_id", "term", "degree", "df", "n_records", (F.col("degree") * F.log(F.col("n_records") / F.col("df"))).alias("weight"))
+        .select("paper_id", "node_id", "term", "degree", "df", F.lit(n).cast("bigint").alias("n_records"), (F.col("degree") * F.log(F.lit(float(n)) / F.col("df"))).alias("weight"))
     )
 
 
-def most_characteristic(weights: DataFrame) -> DataFrame:
-    """The term with the largest weight of each record; among equals the rarer, then the smaller."""
-    best = weights.groupBy("paper_id", "node_id").agg(F.max_by("term", F.struct("weight", -F.col("df"), -F.col("degree"), "term")).alias("term"))
+def most_characteristic(records: DataFrame) -> DataFrame:
+    """(paper_id, node_id, term): the term with the largest weight of each record; among equals the rarer, then the larger in code-point order.
+
+    Terms that cannot win are left out before the join: the weights of terms in more than one of HOT postings are
+    known from a table of at most HOT rows, those of all others lie between two bounds. Nothing is lost by it.
+    """
+    totals = records.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("terms")).alias("p")).first()
+    n, least = totals.n, max(2, (totals.p or 0) // HOT)
+    hot = {r.key: r.df for r in _counts(records).where(F.col("df") > least).limit(HOT + 1).collect()}
+    rarest, common = math.log(max(n, 1)), math.log(max(n, 1) / least)
+
+    def possible(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for p, m, terms, degs in zip(pdf["paper_id"], pdf["node_id"], pdf["terms"], pdf["degrees"]):
+                rows = []
+                for t, d in zip(terms, degs):
+                    df = hot.get(t.lower())
+                    low, high = (d * math.log(n / df),) * 2 if df else (d * common, d * rarest)
+                    rows.append((high, low, t, d))
+                floor = max(x[1] for x in rows) - 1e-9
+                out += [(p, m, t, int(d)) for high, _, t, d in rows if high >= floor]
+            yield pd.DataFrame(out, columns=["paper_id", "node_id", "term", "degree"]).astype({"paper_id": "int64", "degree": "int32"})
+
+    left = records.where("size(terms) > 0").mapInPandas(possible, "paper_id bigint, node_id string, term string, degree int").withColumn("key", F.lower("term"))
+    weighed = left.join(_counts(records), "key").withColumn("weight", F.col("degree") * F.log(F.lit(float(n)) / F.col("df")))
+    best = weighed.groupBy("paper_id", "node_id").agg(F.max_by("term", F.struct("weight", -F.col("df"), "term")).alias("term"))
     return best.select("paper_id", "node_id", "term")

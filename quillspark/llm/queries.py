@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import cut
 from ..sources.tables import table
-from . import distinct, ocr_repair, packing, splitting, unify
+from . import distinct, name_link, ocr_repair, packing, splitting, unify
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,14 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return ocr_repair.damage(p1_repair(spark, sf))
 
 
+def p2_entities(spark: SparkSession, sf: str) -> DataFrame:
+    return name_link.link_names(name_link.spellings(table(spark, sf, "papers"), table(spark, sf, "citation_nodes"), table(spark, sf, "digest_items")))
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return name_link.pairs(cut(p2_entities(spark, sf)))
+
+
 def p3_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return splitting.split_oversized(table(spark, sf, "section_nodes"), table(spark, sf, "size_profiles"))
 
@@ -39,12 +47,16 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return p4_canonical(spark, sf).where("changed").select("tab", "id")
 
 
+def _graphs(spark: SparkSession, sf: str) -> DataFrame:
+    return distinct.record_graphs(table(spark, sf, "section_terms"), table(spark, sf, "section_nodes"))
+
+
 def p5_weights(spark: SparkSession, sf: str) -> DataFrame:
-    return distinct.term_weights(table(spark, sf, "section_terms"), table(spark, sf, "section_nodes"))
+    return distinct.term_weights(_graphs(spark, sf))
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    return distinct.most_characteristic(p5_weights(spark, sf))
+    return distinct.most_characteristic(_graphs(spark, sf))
 
 
 def _packed(spark: SparkSession, sf: str, profile: str) -> tuple[DataFrame, int]:
@@ -70,7 +82,7 @@ def p6_fill(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = [p1_found, p1_repair, p3_found, p3_pieces, p4_found, p4_canonical, p5_found, p5_weights, p6_pack, p6_pack_small, p6_pack_long, p6_fill]
+    own = [p1_found, p1_repair, p2_found, p2_entities, p3_found, p3_pieces, p4_found, p4_canonical, p5_found, p5_weights, p6_pack, p6_pack_small, p6_pack_long, p6_fill]
     return {f.__name__: f for f in own}
 
 
