@@ -10,12 +10,11 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
 
-import pandas as pd
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.arrow import map_rows
 from ..session import cut
 from .unify import ordinary_column
 
@@ -282,9 +281,6 @@ def paragraphs(lines: list[str]) -> str:
     return regex.sub(r"\n{3,}", "\n\n", "\n".join(x if x else "" for x in out)).strip()
 
 
-_PAGE = "id bigint, paper_id bigint, title string, body string"
-
-
 def repair_scans(nodes: DataFrame, id_col: str = "id", body_col: str = "body", title_col: str = "title") -> DataFrame:
     """id, n_lines, furniture, hyphenation, misread (counts of what was repaired) and repaired text of every stored row.
 
@@ -297,12 +293,11 @@ def repair_scans(nodes: DataFrame, id_col: str = "id", body_col: str = "body", t
     docs = base.where("length(raw) > 0").select("title", "raw").distinct().withColumn("doc", F.xxhash64("raw", F.coalesce("title", F.lit("")))).withColumn("body", ordinary_column("raw")).select("doc", "title", "body")
     docs = cut(docs)  # read many times below; Python and the shuffle run once
 
-    def evidence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame([(d, k, e) for d, b in zip(pdf["doc"], pdf["body"]) for k, e in header_evidence(b)], columns=["doc", "key", "beside"]).astype({"doc": "int64", "beside": "int32"})
+    def evidence(r: dict):
+        return [(r["doc"], k, e) for k, e in header_evidence(r["body"])]
 
     lined = docs.where("contains(body, '\\n')")
-    found = lined.select("doc", "body").mapInPandas(evidence, "doc bigint, key string, beside int")
+    found = map_rows(lined.select("doc", "body"), evidence, "doc bigint, key string, beside int")
     headers = found.groupBy("key").agg(F.sum("beside").alias("n")).where(F.col("n") >= MARGIN).select("key")
     by_doc = cut(found.join(headers, "key").groupBy("doc").agg(F.collect_set("key").alias("headers")))
 
@@ -311,26 +306,21 @@ def repair_scans(nodes: DataFrame, id_col: str = "id", body_col: str = "body", t
     compounds = docs.select("doc", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("body"), F.lit(r"[\p{L}\p{N}]+-[\p{L}\p{N}]+"), F.lit(0)))).alias("word"))
     lexicon = cut(plain.unionByName(compounds).groupBy("word").agg(F.count(F.lit(1)).alias("n")))
 
-    def halves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for d, t, b, h in zip(pdf["doc"], pdf["title"], pdf["body"], pdf["headers"]):
-                lines, _ = strip_furniture(b, set(h) if h is not None else set(), t)
-                out += {(d, w) for _, _, x, y in divisions(lines) for w in (x.lower(), y.lower(), (x + y).lower(), f"{x}-{y}".lower())}
-            yield pd.DataFrame(out, columns=["doc", "word"]).astype({"doc": "int64"})
+    def halves(r: dict):
+        lines, _ = strip_furniture(r["body"], set(r["headers"] or ()), r["title"])
+        return {(r["doc"], w) for _, _, x, y in divisions(lines) for w in (x.lower(), y.lower(), (x + y).lower(), f"{x}-{y}".lower())}
 
     pages = lined.join(by_doc, "doc", "left")
-    parts = cut(pages.where(r"body rlike '[-¬‐\\x{00AD}][ \\t\\x{00A0}]*\\n'").select("doc", "title", "body", "headers").mapInPandas(halves, "doc bigint, word string"))
+    parts = cut(map_rows(pages.where(r"body rlike '[-¬‐\\x{00AD}][ \\t\\x{00A0}]*\\n'").select("doc", "title", "body", "headers"), halves, "doc bigint, word string"))
     joined = parts.select("word").distinct().join(lexicon, "word", "left")
 
     # confusable words: candidates that the corpus knows better than the word as read
-    def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame([(w, n, c, p) for w, n in zip(pdf["word"], pdf["n"]) for c, p in expand(w)], columns=["read", "n_read", "word", "channel"]).astype({"n_read": "int64", "channel": "float64"})
+    def candidates(r: dict):
+        return [(r["word"], r["n"], c, p) for c, p in expand(r["word"])]
 
     every = plain.select("word").unionByName(parts.select("word")).distinct().join(lexicon, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n"))
     suspects = (
-        every.mapInPandas(candidates, "read string, n_read bigint, word string, channel double")
+        map_rows(every, candidates, "read string, n_read bigint, word string, channel double")
         .join(lexicon.where("n >= 2"), "word")
         .where("n > 20 * (n_read - 1)")
         .groupBy("read")
@@ -340,60 +330,55 @@ def repair_scans(nodes: DataFrame, id_col: str = "id", body_col: str = "body", t
     known = parts.join(joined, "word").where("n is not null").groupBy("doc").agg(F.collect_list(F.struct("word", "n")).alias("known"))
     work = cut(docs.join(by_doc, "doc", "left").join(occurring, "doc", "left").join(known, "doc", "left"))
 
-    def prepared(r) -> tuple[list[str], int, int, Suspects]:
-        lines, furniture = strip_furniture(r.body, set(r.headers) if r.headers is not None else set(), r.title) if "\n" in r.body else ([r.body], 0)
-        known = {x["word"]: x["n"] for x in r.known} if r.known is not None else {}
-        suspects: Suspects = {x["read"]: [(x["read"], 0.0, x["n_read"]), *((c["c"], c["p"], c["n"]) for c in x["cands"])] for x in r.suspects} if r.suspects is not None else {}
+    def prepared(r: dict) -> tuple[list[str], int, int, Suspects]:
+        lines, furniture = strip_furniture(r["body"], set(r["headers"] or ()), r["title"]) if "\n" in r["body"] else ([r["body"]], 0)
+        known = {x["word"]: x["n"] for x in r["known"] or ()}
+        suspects: Suspects = {x["read"]: [(x["read"], 0.0, x["n_read"]), *((c["c"], c["p"], c["n"]) for c in x["cands"])] for x in r["suspects"] or ()}
         for w, cands in suspects.items():  # a word divided over a line end may be misread, too
             if w not in known and len(cands) > 1 and cands[0][2] == 0:
                 known[w] = max(n for _, _, n in cands[1:])
         lines, hyphenation = join_lines(lines, known) if len(lines) > 1 else (lines, 0)
         return lines, furniture, hyphenation, suspects
 
-    def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                lines, _, _, suspects = prepared(r)
-                split = [words_of(x) for x in lines]
-                own = Counter(w for x in split for w in x)
-                out += [(r.doc, a, b) for a, b in needed_bigrams(split, suspects, own)]
-            yield pd.DataFrame(out, columns=["doc", "a", "b"]).astype({"doc": "int64"})
-
-    needed = work.where("suspects is not null").mapInPandas(contexts, "doc bigint, a string, b string")
+    def contexts(r: dict):
+        lines, _, _, suspects = prepared(r)
+        split = [words_of(x) for x in lines]
+        own = Counter(w for x in split for w in x)
+        return [(r["doc"], a, b) for a, b in needed_bigrams(split, suspects, own)]
+
+    needed = map_rows(work.where("suspects is not null"), contexts, "doc bigint, a string, b string")
     row = F.regexp_extract_all(F.lower("body"), F.lit(JAVA_TOKEN), F.lit(0))
     pairs = docs.select(row.alias("w")).where("size(w) > 1").select(F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.struct(F.element_at("w", i).alias("a"), F.element_at("w", i + 1).alias("b")))).alias("x")).select("x.*")
     counted = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     bigrams = needed.join(counted, ["a", "b"]).groupBy("doc").agg(F.collect_list(F.struct("a", "b", "n")).alias("bigrams"))
 
-    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                lines, furniture, hyphenation, suspects = prepared(r)
-                misread = 0
-                if suspects:
-                    split = [words_of(x) for x in lines]
-                    own = Counter(w for x in split for w in x)
-                    counts = {(x["a"], x["b"]): x["n"] for x in r.bigrams} if r.bigrams is not None else {}
-                    for k, words in enumerate(split):
-                        if not any(w in suspects for w in words):
-                            continue
-                        best = viterbi(words, suspects, own, counts)
-                        wrong = [i for i, (a, b) in enumerate(zip(words, best)) if a != b]
-                        if wrong:
-                            misread += len(wrong)
-                            at = [m.span() for m in _TOKEN.finditer(lines[k])]
-                            text = lines[k]
-                            if len(at) == len(words):  # lower-casing may change the number of tokens in rare scripts
-                                for i in reversed(wrong):
-                                    b, e = at[i]
-                                    text = text[:b] + _cased(text[b:e], best[i]) + text[e:]
-                                lines[k] = text
-                out.append((r.doc, r.title, r.body.count("\n") + 1, furniture, hyphenation, misread, paragraphs(lines) if "\n" in r.body else "\n".join(lines)))
-            yield pd.DataFrame(out, columns=["doc", "title", "n_lines", "furniture", "hyphenation", "misread", "repaired"]).astype({"doc": "int64", "n_lines": "int32", "furniture": "int32", "hyphenation": "int32", "misread": "int32"})
-
-    fixed = work.join(bigrams, "doc", "left").select("doc", "title", "body", "headers", "suspects", "known", "bigrams").mapInPandas(finish, "doc bigint, title string, n_lines int, furniture int, hyphenation int, misread int, repaired string").drop("title")
+    def finish(r: dict):
+        lines, furniture, hyphenation, suspects = prepared(r)
+        misread = 0
+        if suspects:
+            split = [words_of(x) for x in lines]
+            own = Counter(w for x in split for w in x)
+            counts = {(x["a"], x["b"]): x["n"] for x in r["bigrams"] or ()}
+            for k, words in enumerate(split):
+                if not any(w in suspects for w in words):
+                    continue
+                best = viterbi(words, suspects, own, counts)
+                wrong = [i for i, (a, b) in enumerate(zip(words, best)) if a != b]
+                at = [m.span() for m in _TOKEN.finditer(lines[k])] if wrong else []
+                misread += len(wrong)
+                if len(at) == len(words):  # lower-casing may change the number of tokens in rare scripts
+                    text = lines[k]
+                    for i in reversed(wrong):
+                        b, e = at[i]
+                        text = text[:b] + _cased(text[b:e], best[i]) + text[e:]
+                    lines[k] = text
+        return [(r["doc"], r["body"].count("\n") + 1, furniture, hyphenation, misread, paragraphs(lines) if "\n" in r["body"] else "\n".join(lines))]
+
+    fixed = map_rows(
+        work.join(bigrams, "doc", "left").select("doc", "title", "body", "headers", "suspects", "known", "bigrams"),
+        finish,
+        "doc bigint, n_lines int, furniture int, hyphenation int, misread int, repaired string",
+    )
     out = base.withColumn("doc", F.when(F.length("raw") > 0, F.xxhash64("raw", F.coalesce("title", F.lit(""))))).join(fixed, "doc", "left")
     return out.select(
         "id",

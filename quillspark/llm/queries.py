@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import cut
 from ..sources.tables import table
-from . import distinct, name_link, ocr_repair, packing, splitting, unify
+from . import distinct, leakage, name_link, ocr_repair, packing, reading, splitting, unify
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -81,8 +81,28 @@ def p6_fill(spark: SparkSession, sf: str) -> DataFrame:
     return packing.fill(*_packed(spark, sf, "pack_mid"))
 
 
+def p7_leaks(spark: SparkSession, sf: str) -> DataFrame:
+    return leakage.find_leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p7_leaks(spark, sf).select("doc_id", "item_id").distinct()
+
+
+def p7_spans(spark: SparkSession, sf: str) -> DataFrame:
+    return leakage.removal_spans(p7_leaks(spark, sf))
+
+
+def p8_levels(spark: SparkSession, sf: str) -> DataFrame:
+    return reading.reading_levels(table(spark, sf, "documents"), table(spark, sf, "reading_labels"))
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p8_levels(spark, sf).select("doc_id", "level").distinct()
+
+
 def queries() -> dict[str, Query]:
-    own = [p1_found, p1_repair, p2_found, p2_entities, p3_found, p3_pieces, p4_found, p4_canonical, p5_found, p5_weights, p6_pack, p6_pack_small, p6_pack_long, p6_fill]
+    own = [p1_found, p1_repair, p2_found, p2_entities, p3_found, p3_pieces, p4_found, p4_canonical, p5_found, p5_weights, p6_pack, p6_pack_small, p6_pack_long, p6_fill, p7_found, p7_leaks, p7_spans, p8_found, p8_levels]
     return {f.__name__: f for f in own}
 
 
