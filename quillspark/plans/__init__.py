@@ -1,0 +1,6 @@
+"""Queries by theme; importing the package registers them."""
+
+from . import scalars  # noqa: F401
+from .registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
