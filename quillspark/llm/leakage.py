@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .unify import ordinary
 
 PHRASE = {("passage", False): 5, ("passage", True): 8, ("question", False): 4, ("question", True): 6}  # tokens of a phrase by part and Chinese, whose characters are tokens
-LIKELY, SHARE, QUESTION = 0.18, 0.28, 0.8  # of a part in exact phrases, before it is aligned; alignment score a token of a passage; share of a question
+LIKELY, SURE = 0.18, 0.36  # share of a passage in exact phrases from which it is aligned, and from which it needs no alignment
+SHARE, QUESTION = 0.28, 0.8  # alignment score a token of a passage; share of a question
 SAMPLE = 4
 SHARD = 500_000  # tokens
 _TOKEN = re.compile("[一-鿿]|[^\\W_一-鿿]+")
@@ -47,7 +48,7 @@ def fold(text: str) -> list[str]:
 def suffix_array(t: np.ndarray) -> np.ndarray:
     """Suffix array by prefix doubling; only suffixes that are still tied are sorted again. t ends with a unique smallest symbol."""
     n = len(t)
-    sa = np.argsort(t, kind="stable")
+    sa = np.argsort(t.astype(np.uint16) if t.max() < 65536 else t, kind="stable")  # a radix sort for few symbols
     rank = np.zeros(n, np.int64)
     s = t[sa]
     head = np.concatenate([[True], s[1:] != s[:-1]])
@@ -240,9 +241,11 @@ def _leaks(docs: list[np.ndarray], phrases: Phrases) -> list[tuple[int, int, flo
     if not found:
         return []
     a = np.concatenate(found)
-    a = a[np.lexsort((a[:, 2], a[:, 2] - a[:, 3], a[:, 1], a[:, 0]))]
-    # hits that follow each other on a diagonal are one run
     diagonal = a[:, 2] - a[:, 3]
+    low, span = int(diagonal.min()), int(diagonal.max() - diagonal.min()) + 1
+    order = np.argsort(((a[:, 0] * len(phrases.parts) + a[:, 1]) * span + diagonal - low) * (int(a[:, 2].max()) + 1) + a[:, 2], kind="stable")
+    a, diagonal = a[order], diagonal[order]
+    # hits that follow each other on a diagonal are one run
     new = np.ones(len(a), bool)
     new[1:] = (a[1:, 0] != a[:-1, 0]) | (a[1:, 1] != a[:-1, 1]) | (diagonal[1:] != diagonal[:-1]) | (a[1:, 2] > a[:-1, 2] + a[:-1, 4])
     heads = np.flatnonzero(new)
@@ -271,6 +274,9 @@ def _leaks(docs: list[np.ndarray], phrases: Phrases) -> list[tuple[int, int, flo
             if len(same) >= QUESTION * len(ids) and phrases.must[p] <= same:
                 out.append((d, p, len(same) / len(ids), lo, hi))
             continue
+        if score >= SURE * len(ids):  # so much of it stands there word for word and in order
+            out.append((d, p, min(1.0, score / len(ids)), begin, end))
+            continue
         # the exact check: the best local alignment around the place, edits and all
         lo, hi = max(0, begin - min(used[0][1], slack) - 6), min(len(docs[d]), end + min(len(ids) - used[-1][1], slack) + 6)
         score, first_token, last_token = local_alignment(np.array(ids), docs[d][lo:hi])
