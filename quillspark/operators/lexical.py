@@ -17,6 +17,10 @@ def top_per(df: DataFrame, by: list[str], k: int, *order: Column) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
 
 
+def _count(tokens: str, word: str) -> Column:
+    return F.size(F.filter(tokens, lambda x: x == word))
+
+
 def bm25(docs: DataFrame, query: str, weights: dict[str, float], k1: float = 1.5, b: float = 0.75, id_col: str = "id") -> DataFrame:
     """id, score of documents with a query term: BM25 of every field by its weight, times half plus the share of query terms present.
 
@@ -33,7 +37,7 @@ def bm25(docs: DataFrame, query: str, weights: dict[str, float], k1: float = 1.5
     hits = base.select(
         "id",
         *[F.size(f).alias(f"len_{f}") for f in fields],
-        F.explode(F.array(*[F.struct(F.lit(w).alias("term"), *[F.size(F.filter(f, lambda x, w=w: x == w)).alias(f"tf_{f}") for f in fields]) for w in wanted])).alias("h"),
+        F.explode(F.array(*[F.struct(F.lit(w).alias("term"), *[_count(f, w).alias(f"tf_{f}") for f in fields]) for w in wanted])).alias("h"),
     ).select("id", *[f"len_{f}" for f in fields], "h.*").where(" or ".join(f"tf_{f} > 0" for f in fields))
     df = hits.groupBy("term").agg(*[F.sum(F.when(F.col(f"tf_{f}") > 0, 1).otherwise(0)).alias(f"df_{f}") for f in fields])
     scored = hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(lengths))  # one row for each query term; one row
@@ -73,7 +77,7 @@ def fuse(rankings: DataFrame, k: int = 60) -> DataFrame:
 def interest_profile(papers: DataFrame, half_life: float = 365.0, floor: float = 0.1, title_weight: float = 1.0, venue_weight: float = 0.5) -> DataFrame:
     """term, weight (0 to 1), df: over all papers the best source weight of a term times the paper's recency, over the largest sum."""
     base = papers.agg(F.max("created_at").alias("newest"))
-    age = F.greatest((F.unix_micros("newest") - F.unix_micros("created_at")) / 86400e6, F.lit(0.0))
+    age = F.greatest((F.unix_micros(F.col("newest").cast("timestamp")) - F.unix_micros(F.col("created_at").cast("timestamp"))) / 86400e6, F.lit(0.0))
     recency = F.when(F.col("created_at").isNull(), floor).otherwise(F.greatest(F.lit(floor), F.pow(F.lit(0.5), age / half_life)))
     venue = t.norm_query("venue")
     each = papers.crossJoin(F.broadcast(base)).select(  # one row

@@ -137,7 +137,7 @@ def ieee_references(x: Tables) -> DataFrame:
 
 
 @query(
-    "SELECT digest_id, norm_key, row_number() OVER (PARTITION BY digest_id, norm_key, arxiv_id, published ORDER BY title) AS copy, len(regexp_extract_all(authors_json, '\"[^\"]+\"')) - len(regexp_extract_all(authors_json, '\"name\":')) AS n_authors FROM digest_items".replace(", row_number() OVER (PARTITION BY digest_id, norm_key, arxiv_id, published ORDER BY title) AS copy", "")
+    "SELECT digest_id, norm_key, len(regexp_extract_all(authors_json, '\"[^\"]+\"')) - len(regexp_extract_all(authors_json, '\"name\":')) AS n_authors FROM digest_items"
 )
 def digest_author_counts(x: Tables) -> DataFrame:
     return x.digest_items.select("digest_id", "norm_key", F.size(F.from_json("authors_json", "array<string>")).cast("bigint").alias("n_authors"))
