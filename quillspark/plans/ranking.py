@@ -14,10 +14,10 @@ WORDS = "[" + ", ".join(f"'{w}'" for w in ["lexical", "baseline", "for", "the",
 KEPT = "[" + ", ".join(f"'{w}'" for w in ["lexical", "baseline", "context", "window"]) + "]"
 
 _B = f"""b AS (SELECT id, {rank_terms_sql('title')} AS title, {rank_terms_sql("abstract")} AS body FROM papers),
- s AS (SELECT count(*) AS n, avg(len(title)) AS at, avg(len(body)) AS ab FROM b),
+ s AS (SELECT count(*) AS n, avg(len(title)) AS avt, avg(len(body)) AS avb FROM b),
  h AS (SELECT id, len(title) AS lt, len(body) AS lb, term, len(list_filter(title, lambda v: v = term)) AS ft, len(list_filter(body, lambda v: v = term)) AS fb FROM b, unnest({WORDS}) AS q(term)),
  d AS (SELECT term, count(*) FILTER (WHERE ft > 0) AS dt, count(*) FILTER (WHERE fb > 0) AS db FROM h GROUP BY term),
- r AS (SELECT id, sum(CASE WHEN ft > 0 THEN 3.0 * ln(1 + (n - dt + 0.5) / (dt + 0.5)) * ft * 2.5 / (ft + 1.5 * (0.25 + 0.75 * lt / at)) ELSE 0 END + CASE WHEN fb > 0 THEN ln(1 + (n - db + 0.5) / (db + 0.5)) * fb * 2.5 / (fb + 1.5 * (0.25 + 0.75 * lb / ab)) ELSE 0 END) * (0.5 + count(*) / 6.0) AS score FROM h JOIN d USING (term), s WHERE ft > 0 OR fb > 0 GROUP BY id)"""
+ r AS (SELECT id, sum(CASE WHEN ft > 0 THEN 3.0 * ln(1 + (n - dt + 0.5) / (dt + 0.5)) * ft * 2.5 / (ft + 1.5 * (0.25 + 0.75 * lt / avt)) ELSE 0 END + CASE WHEN fb > 0 THEN ln(1 + (n - db + 0.5) / (db + 0.5)) * fb * 2.5 / (fb + 1.5 * (0.25 + 0.75 * lb / avb)) ELSE 0 END) * (0.5 + count(*) / 6.0) AS score FROM h JOIN d USING (term), s WHERE ft > 0 OR fb > 0 GROUP BY id)"""
 
 
 def _bm25(x: Tables) -> DataFrame:
