@@ -114,16 +114,21 @@ def strip_furniture(body: str, headers: set[str], title: str | None = None) -> t
     n = sum(drop)
     if not n:
         return lines, 0
+    width = max((len(x) for x, gone in zip(lines, drop) if not gone), default=0)
     out: list[str] = []
     k = 0
     while k < len(lines):
         if drop[k]:
+            blank = False
             while out and not out[-1].strip():
                 out.pop()
+                blank = True
             while k < len(lines) and (drop[k] or not lines[k].strip()):
+                blank |= not lines[k].strip()
                 k += 1
-            if out and k < len(lines) and _SENTENCE_END.search(out[-1].strip()):
-                out.append("")  # a page ended with its paragraph; joining it to the next one would be a guess
+            # a page that ended with its paragraph has a short last line and a blank one; else the paragraph goes on
+            if blank and out and k < len(lines) and _SENTENCE_END.search(out[-1].strip()) and len(out[-1].strip()) < 0.75 * width:
+                out.append("")
             continue
         out.append(lines[k])
         k += 1
