@@ -9,23 +9,27 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut
 
 _TOKEN = re.compile("[\u4e00-\u9fff]+|[^\\W_\u4e00-\u9fff]+")
+_ASCII = re.compile("[a-z0-9]{2,}")
 _DIVIDED = re.compile(r"(?<=\w)[-\u00ac\u00ad][^\S\n]*\n\s*(?=[a-z\u00df-\u00ff])")
 SALTS = 8
+GROUP = 48  # records whose edges are counted together
 #: At most so many terms can each make up one in so many of all postings.
 HOT = 4096
 
 
 def tokens(text: str) -> list[str]:
     """Terms in text order: lower-case words and numbers of two or more characters, Chinese as overlapping pairs."""
+    if text.isascii():
+        return _ASCII.findall((_DIVIDED.sub("", text) if "\n" in text else text).lower())
     out: list[str] = []
     for t in _TOKEN.findall((_DIVIDED.sub("", text) if "\n" in text else text).lower()):
         if "\u4e00" <= t[0] <= "\u9fff":
@@ -35,13 +39,29 @@ def tokens(text: str) -> list[str]:
     return out
 
 
-def degrees(words: list[str], window: int) -> Counter:
-    """Distinct neighbours of each term among the terms less than `window` positions away."""
-    edges = set()
-    for k in range(1, window):
-        edges.update(zip(words, words[k:]))
-    edges |= {(b, a) for a, b in edges}
-    return Counter(a for a, b in edges if a != b)
+def degrees(records: list[list[str]], window: int) -> list[dict[str, int]]:
+    """For each record the distinct neighbours of its terms among the terms less than `window` positions away.
+
+    The edges of all records given are sorted and counted together.
+    """
+    vocabulary: dict[str, int] = {}
+    code = vocabulary.setdefault
+    coded = [[code(w, len(vocabulary)) for w in words] for words in records]
+    if not vocabulary:
+        return [{} for _ in records]
+    n = len(vocabulary)
+    ids = np.fromiter((i for own in coded for i in own), np.int64)
+    record = np.repeat(np.arange(len(records)), [len(own) for own in coded])
+    edges = []
+    for k in range(1, min(window, len(ids))):
+        a, b = ids[:-k], ids[k:]
+        keep = (record[:-k] == record[k:]) & (a != b)
+        edges.append((record[k:][keep] * n + np.minimum(a, b)[keep]) * n + np.maximum(a, b)[keep])
+    edge = np.sort(np.concatenate([*edges, np.zeros(0, np.int64)]))
+    edge = edge[np.concatenate([[True], edge[1:] != edge[:-1]])] if len(edge) else edge
+    left, b = np.divmod(edge, n)
+    count = np.bincount(left, minlength=len(records) * n) + np.bincount(left // n * n + b, minlength=len(records) * n)
+    return [dict(zip(words, count[r * n + np.array(own, np.int64)].tolist())) for r, (words, own) in enumerate(zip(records, coded))]
 
 
 _RECORD = "paper_id bigint, node_id string, terms array<string>, degrees array<int>"
@@ -68,17 +88,20 @@ def record_graphs(terms: DataFrame, nodes: DataFrame, window: int = 4) -> DataFr
     def graphs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for p, n, stored, tfs, text in zip(pdf["paper_id"], pdf["node_id"], pdf["stored"], pdf["tfs"], pdf["text"]):
-                own: dict[str, tuple[str, int]] = {}
-                for t, f in zip(stored, tfs):
-                    key = t.lower()
-                    if key in own:
-                        a, b = own[key]
-                        own[key] = (a if a == key else t if t == key else min(a, t), max(b, f))
-                    else:
-                        own[key] = (t, f)
-                found = degrees(tokens(text), window) if text is not None else {}
-                out.append((p, n, [t for t, _ in own.values()], [found.get(k) or max(0, f) * (window - 1) for k, (_, f) in own.items()]))
+            for at in range(0, len(pdf), GROUP):
+                part = pdf.iloc[at : at + GROUP]
+                graph = degrees([tokens(t) if t is not None else [] for t in part["text"]], window)
+                for p, n, stored, tfs, found in zip(part["paper_id"], part["node_id"], part["stored"], part["tfs"], graph):
+                    stored, tfs = stored.tolist(), tfs.tolist()
+                    keys = [t.lower() for t in stored]
+                    if len(set(keys)) < len(keys):
+                        own: dict[str, tuple[str, int]] = {}
+                        for key, t, f in zip(keys, stored, tfs):
+                            a, b = own.get(key, (t, f))
+                            own[key] = (a if a == key else t if t == key else min(a, t), max(b, f))
+                        keys, stored, tfs = list(own), [t for t, _ in own.values()], [f for _, f in own.values()]
+                    get = found.get
+                    out.append((p, n, stored, [get(k) or max(0, f) * (window - 1) for k, f in zip(keys, tfs)]))
             yield pd.DataFrame(out, columns=["paper_id", "node_id", "terms", "degrees"])
 
     # copies of a node give a record more than once with the same postings: the first text is kept
@@ -114,18 +137,16 @@ def most_characteristic(records: DataFrame) -> DataFrame:
     n, least = totals.n, max(2, (totals.p or 0) // HOT)
     hot = {r.key: r.df for r in _counts(records).where(F.col("df") > least).limit(HOT + 1).collect()}
     rarest, common = math.log(max(n, 1)), math.log(max(n, 1) / least)
+    weight = {t: math.log(n / df) for t, df in hot.items()}.get
 
     def possible(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for p, m, terms, degs in zip(pdf["paper_id"], pdf["node_id"], pdf["terms"], pdf["degrees"]):
-                rows = []
-                for t, d in zip(terms, degs):
-                    df = hot.get(t.lower())
-                    low, high = (d * math.log(n / df),) * 2 if df else (d * common, d * rarest)
-                    rows.append((high, low, t, d))
-                floor = max(x[1] for x in rows) - 1e-9
-                out += [(p, m, t, int(d)) for high, _, t, d in rows if high >= floor]
+                known = np.array([weight(t.lower(), np.nan) for t in terms])
+                cold = np.isnan(known)
+                floor = (degs * np.where(cold, common, known)).max() - 1e-9
+                out += [(p, m, terms[k], int(degs[k])) for k in np.flatnonzero(degs * np.where(cold, rarest, known) >= floor)]
             yield pd.DataFrame(out, columns=["paper_id", "node_id", "term", "degree"]).astype({"paper_id": "int64", "degree": "int32"})
 
     left = records.where("size(terms) > 0").mapInPandas(possible, "paper_id bigint, node_id string, term string, degree int").withColumn("key", F.lower("term"))

@@ -71,7 +71,9 @@ def test_degrees_against_brute_force():
         for j, b in enumerate(words):
             if a != b and abs(i - j) < 4:
                 near[a].add(b)
-    assert {k: v for k, v in distinct.degrees(words, 4).items()} == {k: len(v) for k, v in near.items()}
+    want = {k: len(v) for k, v in near.items()}
+    assert distinct.degrees([words, [], ["aa"], words[::-1]], 4) == [want, {}, {"aa": 0}, want]
+    assert distinct.degrees([[], []], 4) == [{}, {}]
 
 
 def test_term_weights_and_pruning_agree(spark):
