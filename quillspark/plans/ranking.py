@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as t
-from ..operators import evaluate, lexical, vectors, verify
+from ..operators import audit, evaluate, lexical, retrieve, segment, vectors, verify
 from .registry import Tables, query
 from .scalars import PROFILE_STOP, _pairs, rank_terms_sql, section_terms_sql
 
@@ -183,3 +183,36 @@ def rerank_significance(x: Tables) -> DataFrame:
     """Does BM25 order the digests' scores better than overlap does: paired sign-flip test over papers."""
     pairs = _overlap(x).withColumnRenamed("score", "before").join(_bm25(x).select("id", (F.col("score") > 1).cast("double").alias("after")), "id", "left").na.fill(0.0)
     return evaluate.sign_flip(pairs, "before", "after", 2000)
+
+
+@query()
+def passage_search(x: Tables) -> DataFrame:
+    """Two stages: sections by their postings, then the best passage of each."""
+    return retrieve.passage_search(x.section_terms, x.section_nodes, QUERY)
+
+
+@query()
+def expanded_search(x: Tables) -> DataFrame:
+    return retrieve.expanded_search(x.papers.select("id", "title", F.col("abstract").alias("body")), QUERY, {"title": 3.0, "body": 1.0})
+
+
+@query()
+def section_chunks(x: Tables) -> DataFrame:
+    return segment.chunks(x.section_nodes)
+
+
+@query()
+def audited_answers(x: Tables) -> DataFrame:
+    """Answers as written sentences with their passage as the only evidence."""
+    written = x.eval_items.select(F.col("item_id").alias("id"), F.concat("answer", F.lit(" [1].")).alias("text"))
+    return audit.issues(written, x.eval_items.select(F.col("item_id").alias("id"), F.lit(1).alias("n"), F.col("passage").alias("quote")))
+
+
+_GRAMS = "list_concat(list_concat(" + ", ".join(
+    f"list_transform(list_filter(list_transform(range(1, greatest(len(w) - {n - 1}, 1) + 1), lambda i: list_slice(w, i, i + {n - 1})), lambda g: len(g) = {n} AND len(list_intersect(g, stop)) = 0), lambda g: array_to_string(g, ' ')){')' if n == 3 else ''}" for n in (2, 3, 4)
+) + ")"
+
+
+@query("SELECT id, unnest(list_distinct(" + _GRAMS + ")) AS phrase FROM (SELECT id, regexp_extract_all(lower(coalesce(title, '')), '[a-z0-9][a-z0-9-]*') AS w, [" + ", ".join("'" + w.replace("'", "''") + "'" for w in t.SECTION_STOPWORDS) + "] AS stop FROM papers)")
+def title_phrases(x: Tables) -> DataFrame:
+    return x.papers.select("id", F.explode(segment.title_phrases("title")).alias("phrase"))

@@ -183,3 +183,36 @@ def test_entry(spark):
 
     assert entry.entry(spark).limit(1).count() == 1
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_filters(spark):
+    from quillspark.operators.filters import compile_filter
+
+    df = spark.createDataFrame([(1, "a", 5), (2, "b", None), (3, None, 7)], "id long, s string, n int")
+    run = lambda w: [r.id for r in df.where(compile_filter(w, {"s", "n"})).orderBy("id").collect()]
+    assert run({"s": "a"}) == [1] and run({"s": {"$ne": "a"}}) == [2] and run({"n": {"$nin": [5]}}) == [3]
+    assert run({"$or": [{"n": {"$gt": 6}}, {"$and": [{"s": {"$in": ["a"]}}, {"n": {"$lte": 5}}]}]}) == [1, 3]
+    for bad in ({}, {"s": 1, "n": 2}, {"x": 1}, {"$and": []}, {"n": {"$like": 1}}, {"n": {"$in": []}}):
+        with pytest.raises(ValueError):
+            compile_filter(bad, {"s", "n"})
+
+
+def test_segments(spark):
+    from quillspark.operators import segment
+
+    parts = segment.pack_paragraphs(["a" * 300, "b" * 300, "One. " * 300, "tail"], 1000)
+    assert all(len(p) <= 1000 for p in parts) and "".join(parts).replace("\n", "").replace(" ", "") == "a" * 300 + "b" * 300 + "One." * 300 + "tail"
+    refs = '[1] A. Doe, "A long enough title," Venue, 2019. doi:10.1000/xyz.\n[2] B. Roe. Another title of a pa-\nper. arXiv:2401.00001, (2024).\n\nText after.'
+    rows = segment.reference_entries(spark.createDataFrame([(1, refs), (2, None), (3, "none")], "id long, body string")).orderBy("entry_no").collect()
+    assert [(r.entry_no, r.doi, r.arxiv_id, r.year) for r in rows] == [(1, "10.1000/xyz", None, 2019), (2, None, "2401.00001", 2024)]
+    assert rows[0].title == "A long enough title" and "paper" in rows[1].entry
+
+
+def test_audit(spark):
+    from quillspark.operators import audit
+
+    text = "# Head\nSuccess rate was 82% at 4 steps [1]. It was 90% [1]. It rose by 7. See [3]."
+    w = spark.createDataFrame([(1, text)], "id long, text string")
+    e = spark.createDataFrame([(1, 1, "a success rate of 82% at 4 steps")], "id long, n int, quote string")
+    got = {(r.sentence, r.issue) for r in audit.issues(w, e).collect()}
+    assert got == {("It was 90% [1].", "numeric_conflict"), ("It rose by 7.", "citation_gap"), ("See [3].", "citation_dangling")}
