@@ -106,7 +106,22 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in own}
 
 
+#: Odd characters as DuckDB's regular expressions write them: invisible ones, blanks, wide forms, ligatures, radicals.
+_ODD = (
+    r"[\x{00AD}\x{034F}\x{180E}\x{200B}\x{200C}\x{200E}\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{2066}-\x{2069}\x{FEFF}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}\x{2028}\x{2029}"
+    r"\x{FF10}-\x{FF19}\x{FF21}-\x{FF3A}\x{FF41}-\x{FF5A}\x{FF61}-\x{FF9F}\x{FB00}-\x{FB06}\x{2E80}-\x{2FD5}\x{F900}-\x{FAFF}\x{1D400}-\x{1D7FF}\x{2126}\x{212A}\x{212B}\x{2160}-\x{217F}]"
+)
+
+
+def _odd(c: str) -> str:
+    joiner = f"regexp_matches(regexp_replace({c}, '(\\p{{So}}\\x{{FE0F}}?)\\x{{200D}}(\\p{{So}})', '\\1\\2', 'g'), '\\x{{200D}}')"
+    marks = f"(regexp_matches({c}, '[\\x{{FF01}}-\\x{{FF0F}}\\x{{FF1A}}-\\x{{FF20}}\\x{{FF3B}}-\\x{{FF40}}\\x{{FF5B}}-\\x{{FF5E}}]') AND NOT regexp_matches({c}, '[\\p{{Han}}\\p{{Hiragana}}\\p{{Katakana}}\\p{{Hangul}}]'))"
+    mixed = f"regexp_matches({c}, '\\p{{Latin}}[\\p{{Cyrillic}}\\p{{Greek}}]|[\\p{{Cyrillic}}\\p{{Greek}}]\\p{{Latin}}')"
+    return f"(regexp_matches({c}, '{_ODD}') OR {joiner} OR {marks} OR {mixed} OR nfc_normalize({c}) <> {c})"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p3_found": "SELECT s.id, p.profile FROM section_nodes s JOIN size_profiles p ON p.unit = 'chars' AND length(s.body) > p.capacity",
+        "p4_found": f"SELECT 'papers.title' AS tab, id FROM papers WHERE {_odd('title')} UNION ALL SELECT 'section_nodes.body', id FROM section_nodes WHERE {_odd('body')}",
     }
