@@ -201,7 +201,7 @@ def link_names(names: DataFrame) -> DataFrame:
     )
     # sets of words with how often they are used; words with how many sets they are part of
     sets = cut(forms.where("kind in ('p', 'o')").groupBy("kind", "set").agg(F.sum("n").alias("n"), F.first("words").alias("words")))
-    words = sets.select(F.explode("words").alias("word"), "set").groupBy("word").agg(F.count_distinct("set").alias("degree"))
+    words = cut(sets.select(F.explode("words").alias("word"), "kind", "set").groupBy("word").agg(F.count(F.lit(1)).alias("degree")))
     vocabulary = words.select("word").unionByName(forms.where("kind = 'i'").select(F.explode("words").alias("word"))).distinct()
     near = cut(near_words(vocabulary))
     nick = spark.createDataFrame([(a, f) for a, *full in (x.split() for x in NICKNAMES.split(";")) for f in full], "word string, near string")
@@ -228,7 +228,7 @@ def link_names(names: DataFrame) -> DataFrame:
     moved = moved.join(shared, ["kind", "set", "target"], "left").where("nick or d <= 1 or d2 >= 8 * d or met")
     step = _one(moved, "set", F.desc("nick"), F.desc("m"), F.asc("target")).select("kind", "set", "target")
     roots = sets.select("kind", "set").join(step, ["kind", "set"], "left").withColumn("root", F.coalesce("target", "set")).drop("target")
-    for _ in range(3):  # each step leads to a set used more often or a full form: chains are short, their length is halved each time
+    for _ in range(2):  # each step leads to a set of more common words or a full form: chains are short, their length is halved each time
         roots = cut(roots)
         after = roots.select("kind", F.col("set").alias("root"), F.col("root").alias("next"))
         roots = roots.join(after, ["kind", "root"], "left").select("kind", "set", F.coalesce("next", "root").alias("root"))
@@ -238,7 +238,7 @@ def link_names(names: DataFrame) -> DataFrame:
     middles = full.where("kind = 'p' and initials <> ''").groupBy("root").agg(F.collect_set(F.substring("initials", 1, 1)).alias("m"))
     settled = full.join(middles, "root", "left").withColumn("mid", F.when(F.coalesce(F.size("m"), F.lit(0)) > 1, F.substring("initials", 1, 1)).otherwise(F.coalesce(F.element_at("m", 1), F.lit(""))))
     done = cut(settled.select("name", "kind", "node", "root", F.when(F.col("kind") == "p", F.col("mid")).otherwise("").alias("mid"), "acronym", F.concat_ws("|", F.lit("E"), "kind", "root", F.when(F.col("kind") == "p", F.col("mid"))).alias("entity")))
-    entities = done.select("entity", "kind", "root", "mid").distinct().withColumn("parts", F.split("root", r"\|"))
+    entities = cut(done.select("entity", "kind", "root", "mid").distinct().withColumn("parts", F.split("root", r"\|")))
 
     # short forms: what could stand behind each
     person = entities.where("kind = 'p' and size(parts) = 2")
@@ -281,16 +281,17 @@ def link_names(names: DataFrame) -> DataFrame:
     acronyms = forms.where("kind = 'a'").select("name", "acronym").join(letters, "acronym").select("name", "entity", F.lit(0).alias("off"))
     # a name without the middle initial that tells two persons apart goes where its works go, else it is a third person
     bare = done.where("kind = 'p' and mid = ''").select("name", "root").join(person.where("mid <> ''").select("root", "entity"), "root").select("name", "entity", F.lit(9).alias("off"))
-    candidates = people.unionByName(orgs).unionByName(acronyms).unionByName(bare).groupBy("name", "entity").agg(F.min("off").alias("off"))
+    candidates = cut(people.unionByName(orgs).unionByName(acronyms).unionByName(bare).groupBy("name", "entity").agg(F.min("off").alias("off")))
     # works on which both stand speak for a candidate; without them it must be the only one of the best kind
     on = done.select("name", "entity").join(names, "name").select("entity", "work").distinct()
     votes = candidates.join(names, "name").join(on, ["entity", "work"]).groupBy("name", "entity").agg(F.count(F.lit(1)).alias("votes"))
-    ranked = cut(candidates.join(votes, ["name", "entity"], "left").na.fill(0, ["votes"]))
-    best = ranked.groupBy("name").agg(F.max(F.struct("votes", -F.col("off"))).alias("top"))
-    top = ranked.join(best, "name").where(F.struct("votes", -F.col("off")).eqNullSafe(F.col("top"))).groupBy("name").agg(F.min("entity").alias("entity"), F.count(F.lit(1)).alias("n")).where("n = 1").select("name", "entity")
-    told = ranked.where("off >= 9 and votes > 0").select("name").distinct().join(top, "name")
-    full_names = done.select("name", F.col("entity").alias("own")).join(told, "name", "left").select("name", F.coalesce("entity", "own").alias("entity"))
-    rest = forms.where("kind not in ('p', 'o')").select("name", "node").join(top, "name", "left").select("name", F.coalesce("entity", F.concat(F.lit("N|"), "node")).alias("entity"))
+    ranked = candidates.join(votes, ["name", "entity"], "left").na.fill(0, ["votes"])
+    # the best candidate and the second best: only a clear best is a link
+    place = Window.partitionBy("name").orderBy(F.desc("votes"), F.asc("off"), F.asc("entity"))
+    first = ranked.withColumn("r", F.row_number().over(place)).withColumn("v2", F.lead("votes").over(place)).withColumn("o2", F.lead("off").over(place)).where("r = 1")
+    top = cut(first.where("v2 is null or v2 < votes or o2 > off").select("name", "entity", ((F.col("off") < 9) | (F.col("votes") > 0)).alias("told")))
+    full_names = done.select("name", F.col("entity").alias("own")).join(top.where("told"), "name", "left").select("name", F.coalesce("entity", "own").alias("entity"))
+    rest = forms.where("kind not in ('p', 'o')").select("name", "node").join(top.drop("told"), "name", "left").select("name", F.coalesce("entity", F.concat(F.lit("N|"), "node")).alias("entity"))
     return full_names.unionByName(rest)
 
 
