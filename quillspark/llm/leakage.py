@@ -343,11 +343,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     """doc_id, item_id, part (question or passage), share of it, begin_pos, end_pos in the document's code points.
 
     items: item_id, question, passage; the held-out set, which the caller bounds: it is taken to every shard in
-    blocks of `block` items. Null or empty texts, questions and passages give no rows; repeated documents give rows
+    blocks of `block` items. Null ids and null or empty texts, questions and passages give no rows; repeated documents give rows
     for each stored row; other columns are ignored; an empty table on either side gives none. Documents are searched
     whole, wherever they lie: nothing is shuffled.
     """
-    rows = [(r.item_id, r.question, r.passage) for r in items.select("item_id", "question", "passage").toLocalIterator()]
+    rows = [(r.item_id, r.question, r.passage) for r in items.where("item_id is not null").select("item_id", "question", "passage").toLocalIterator()]
     blocks = [Phrases(rows[k : k + block]) for k in range(0, len(rows), block)]
     shared = docs.sparkSession.sparkContext.broadcast(blocks)  # held-out items only: block by block of fixed size
 

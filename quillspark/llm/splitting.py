@@ -7,13 +7,12 @@ piece begins the profile's overlap before that cut.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.arrow import map_rows
+
 PARAGRAPH, SENTENCE, LINE, CLAUSE, WORD, CHARACTER, NONE = 6, 5, 4, 3, 2, 1, 0
 #: Strengths from WORD up are ends of words.
 NAMES = {PARAGRAPH: "paragraph", SENTENCE: "sentence", LINE: "line", CLAUSE: "clause", WORD: "word", CHARACTER: "character", NONE: "hard"}
@@ -110,18 +109,16 @@ def split_oversized(texts: DataFrame, profiles: DataFrame, id_col: str = "id", t
     if not sizes:
         return spark.createDataFrame([], SCHEMA)
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for i, body in zip(pdf["id"], pdf["body"]):
-                for profile, capacity, overlap in sizes:
-                    if len(body) > capacity:
-                        found = pieces(body, capacity, overlap)
-                        rows += [(i, profile, k, len(found), b, e, NAMES[s], body[b:e]) for k, (b, e, s) in enumerate(found, 1)]
-            yield pd.DataFrame(rows, columns=["id", "profile", "piece_no", "n_pieces", "begin_pos", "end_pos", "boundary", "piece"]).astype({"piece_no": "int32", "n_pieces": "int32", "begin_pos": "int32", "end_pos": "int32"})
+    def cut(r: dict):
+        out = []
+        for profile, capacity, overlap in sizes:
+            if len(r["body"]) > capacity:
+                found = pieces(r["body"], capacity, overlap)
+                out += [(r["id"], profile, k, len(found), b, e, NAMES[s], r["body"][b:e]) for k, (b, e, s) in enumerate(found, 1)]
+        return out
 
     least = min(c for _, c, _ in sizes)
-    long = base.where(F.length("body") > least).mapInPandas(cut, SCHEMA)
+    long = map_rows(base.where(F.length("body") > least), cut, SCHEMA, 64)
     whole = base.withColumn("p", F.explode(F.array(*[F.struct(F.lit(p).alias("profile"), F.lit(c).alias("capacity")) for p, c, _ in sizes]))).where("length(body) <= p.capacity").select(
         "id", "p.profile", F.lit(1).alias("piece_no"), F.lit(1).alias("n_pieces"), F.lit(0).alias("begin_pos"), F.length("body").alias("end_pos"), F.lit("paragraph").alias("boundary"), F.col("body").alias("piece")
     )

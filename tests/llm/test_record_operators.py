@@ -167,7 +167,7 @@ QUESTION = "Which narrow queue length lets Rinesudo reach 14.09 error on Quimsa
 
 
 def test_leaks(spark):
-    items = spark.createDataFrame([(1, QUESTION, "Yes", PASSAGE), (2, None, None, None), (3, "", "", "")], "item_id bigint, question string, answer string, passage string")
+    items = spark.createDataFrame([(1, QUESTION, "Yes", PASSAGE), (2, None, None, None), (3, "", "", ""), (None, QUESTION, "", PASSAGE)], "item_id bigint, question string, answer string, passage string")
     words = PASSAGE.split()
     third = "Other words here. " + " ".join(words[20:55]).upper() + " and more."
     edited = " ".join(w if k % 11 else "edited" for k, w in enumerate(words))
