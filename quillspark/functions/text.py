@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: Words without meaning of their own, as the section index leaves them out.
 SECTION_STOPWORDS = """
@@ -149,3 +149,9 @@ def bib_key(authors: str | Column, year: str | Column, title: str | Column, iden
     surname = F.try_element_at(F.filter(names, lambda n: n != ""), F.lit(1))
     slug = F.lower(F.substring(F.regexp_replace(F.coalesce(_c(title), F.lit("")), "[^A-Za-z0-9]", ""), 1, 20))
     return F.concat(F.coalesce(surname, F.lit("anon")), F.coalesce(_c(year).cast("string"), F.lit("")), F.when(slug != "", slug).otherwise(F.concat(F.lit("p"), _c(ident).cast("string"))))
+
+
+def text_from_inverted(inverted: DataFrame, id_col: str) -> DataFrame:
+    """id, rebuilt: texts from rows (id, word, at array of positions), words in order of position."""
+    each = inverted.select(id_col, F.explode("at").alias("pos"), "word")
+    return each.groupBy(id_col).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda s: s["word"]), " ").alias("rebuilt"))

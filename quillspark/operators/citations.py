@@ -69,3 +69,12 @@ def markdown_cell(c: str) -> Column:
 def csv_cell(c: str) -> Column:
     """A leading =, +, @ or - is quoted, so that no spreadsheet runs it."""
     return F.when(F.col(c).rlike("^[=+@-]"), F.concat(F.lit("'"), F.col(c))).otherwise(F.col(c))
+
+
+def gbt() -> Column:
+    """Up to three authors, more are cut with 等; a preprint without venue is named as one; no blank before a stop, single blanks."""
+    names = authors()
+    where = F.when(_has("venue"), F.col("venue")).when(_has("arxiv_id"), F.lit("arXiv preprint")).otherwise("")
+    year = F.coalesce(F.when(F.col("year") != 0, F.col("year").cast("string")), F.lit(""))
+    entry = F.concat(F.array_join(F.slice(names, 1, 3), ", "), F.when(F.size(names) > 3, ", 等").otherwise(""), F.lit(". "), F.col("title"), F.lit("[J]. "), where, F.lit(", "), year, F.lit("."))
+    return F.regexp_replace(F.replace(entry, F.lit(" ."), F.lit(".")), t.SPACE, " ")
