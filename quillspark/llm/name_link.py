@@ -129,12 +129,19 @@ def automaton_search(trie: dict, word: str, bound: int = 1) -> list[str]:
 
 
 def shards(word: str) -> list[str]:
-    """Shards in which every word within one edit of this one is met: they share their first or last letters, and the shorter length of the two."""
+    """Shards in which every word within one edit of this one is met.
+
+    One edit leaves two of a word's first, middle and last parts alone: long words share their beginning, their end,
+    or both edges, short ones their first or last letters; and the shorter length of the two.
+    """
     core = regex.split(r"[ -]", word)[-1] or word
     out = []
     for n in (len(core) - 1, len(core)):
-        if n >= 3:
-            k = max(1, min(3, (n - 1) // 2))
+        if n >= 8:
+            k = min(3, (n - 2) // 3)
+            out += [f"{n}<{core[: 2 * k]}", f"{n}>{core[-2 * k :]}", f"{n}={core[:k]}.{core[-k:]}"]
+        elif n >= 3:
+            k = max(1, (n - 1) // 2)
             out += [f"{n}<{core[:k]}", f"{n}>{core[-k:]}"]
     return out
 

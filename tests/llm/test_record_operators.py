@@ -24,7 +24,7 @@ def distance(a, b):
 
 def test_automaton_against_brute_force(spark):
     rng = random.Random(1)
-    words = sorted({"".join(rng.choice("abc") for _ in range(rng.randrange(3, 9))) for _ in range(160)})
+    words = sorted({"".join(rng.choice("abc") for _ in range(rng.randrange(3, 9))) for _ in range(120)} | {"ab" * 4 + "".join(rng.choice("ab") for _ in range(rng.randrange(1, 6))) for _ in range(60)})
     trie = name_link.build_trie(words)
     for w in words[:60]:
         assert sorted(name_link.automaton_search(trie, w)) == [u for u in words if distance(w, u) <= 1]
