@@ -154,11 +154,26 @@ def near_words(words: DataFrame) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame([(s, w) for w in pdf["word"] for s in shards(w)], columns=["shard", "word"])
 
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        trie = build_trie(pdf["word"].tolist())
-        return pd.DataFrame([(w, u) for w in pdf["word"] for u in automaton_search(trie, w) if u != w], columns=["word", "near"])
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # shards lie one after the other; each is searched when the next one begins
+        last, held = None, []
 
-    return words.mapInPandas(spread, schema).groupBy("shard").applyInPandas(search, "word string, near string").distinct()
+        def found() -> list[tuple[str, str]]:
+            trie = build_trie(held) if len(held) > 1 else {}
+            return [(w, u) for w in held for u in automaton_search(trie, w) if u != w] if trie else []
+
+        for pdf in batches:
+            out = []
+            for shard, word in zip(pdf["shard"], pdf["word"]):
+                if shard != last:
+                    out += found()
+                    last, held = shard, []
+                held.append(word)
+            yield pd.DataFrame(out, columns=["word", "near"])
+        yield pd.DataFrame(found(), columns=["word", "near"])
+
+    sharded = words.mapInPandas(spread, schema).repartition("shard").sortWithinPartitions("shard")
+    return sharded.mapInPandas(search, "word string, near string").distinct()
 
 
 # --- linking -------------------------------------------------------------------------------------------------------
