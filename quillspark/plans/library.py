@@ -60,11 +60,29 @@ def linked_counts(x: Tables) -> DataFrame:
     f"WITH pages AS (SELECT id, paper_id, unnest(range(least(start_page, coalesce(end_page, start_page)), greatest(start_page, coalesce(end_page, start_page)) + 1)) AS page FROM section_nodes WHERE start_page IS NOT NULL) SELECT a.id AS id_a, b.id AS id_b, count(*) AS pages FROM pages a JOIN pages b ON a.paper_id = b.paper_id AND a.page = b.page AND a.id < b.id WHERE a.paper_id <> 1 GROUP BY ALL"
 )
 def shared_pages(x: Tables) -> DataFrame:
-    # interval overlap as an equi-join on pages: an interval covers few of them
+    """Without paper 1, as its SQL says; shared_pages_all has every paper."""
+    return _shared_pages(x.section_nodes.where("paper_id <> 1"))
+
+
+@query(
+    "WITH pages AS (SELECT id, paper_id, unnest(range(least(start_page, coalesce(end_page, start_page)), greatest(start_page, coalesce(end_page, start_page)) + 1)) AS page FROM section_nodes WHERE start_page IS NOT NULL) SELECT a.id AS id_a, b.id AS id_b, count(*) AS pages FROM pages a JOIN pages b ON a.paper_id = b.paper_id AND a.page = b.page AND a.id < b.id GROUP BY ALL"
+)
+def shared_pages_all(x: Tables) -> DataFrame:
+    return _shared_pages(x.section_nodes)
+
+
+PAGE_BLOCK = 64  # sections of a page that one task pairs with all others of the page
+
+
+def _shared_pages(nodes: DataFrame) -> DataFrame:
+    # interval overlap as an equi-join on pages: an interval covers few of them; the sections of a full page are spread over blocks
     end = F.coalesce("end_page", "start_page")
-    pages = x.section_nodes.where("start_page is not null and paper_id <> 1").select("id", "paper_id", F.explode(F.sequence(F.least(F.col("start_page"), end), F.greatest(F.col("start_page"), end))).alias("page"))
-    b = pages.select(F.col("id").alias("id_b"), "paper_id", "page")
-    return pages.select(F.col("id").alias("id_a"), "paper_id", "page").join(b, ["paper_id", "page"]).where("id_a < id_b").groupBy("id_a", "id_b").agg(F.count(F.lit(1)).alias("pages"))
+    pages = nodes.where("start_page is not null").select("id", "paper_id", F.explode(F.sequence(F.least(F.col("start_page"), end), F.greatest(F.col("start_page"), end))).alias("page"))
+    blocks = pages.groupBy("paper_id", "page").agg(F.ceil(F.count(F.lit(1)) / PAGE_BLOCK).alias("blocks"))
+    sized = pages.join(blocks, ["paper_id", "page"])
+    a = sized.select(F.col("id").alias("id_a"), "paper_id", "page", F.pmod(F.xxhash64("id"), "blocks").alias("block"))
+    b = sized.select(F.col("id").alias("id_b"), "paper_id", "page", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"))
+    return a.join(b, ["paper_id", "page", "block"]).where("id_a < id_b").groupBy("id_a", "id_b").agg(F.count(F.lit(1)).alias("pages"))
 
 
 @query("SELECT d.digest_id, d.norm_key, d.title, EXISTS (SELECT 1 FROM papers p WHERE p.norm_key = d.norm_key) AS in_library, coalesce(d.rank_score, d.score) AS sort_score FROM digest_items d")

@@ -216,3 +216,18 @@ def test_audit(spark):
     e = spark.createDataFrame([(1, 1, "a success rate of 82% at 4 steps")], "id long, n int, quote string")
     got = {(r.sentence, r.issue) for r in audit.issues(w, e).collect()}
     assert got == {("It was 90% [1].", "numeric_conflict"), ("It rose by 7.", "citation_gap"), ("See [3].", "citation_dangling")}
+
+
+def test_shared_pages_keep_the_hot_paper(spark, tmp_path):
+    from itertools import combinations
+
+    from quillspark import plans
+
+    # more sections on one page than a block holds, on paper 1 and on another
+    rows = [(k, 1 if k % 3 else 2, 5 + k % 2, (6 if k % 5 else None)) for k in range(300)] + [(900, 1, None, 6), (901, None, 5, 6), (902, 1, 6, 5)]
+    spark.createDataFrame(rows, "id bigint, paper_id bigint, start_page int, end_page int").write.parquet(str(tmp_path / "section_nodes.parquet"))
+    on = {i: (p, set(range(min(a, b or a), max(a, b or a) + 1))) for i, p, a, b in rows if a and p}
+    want = {(i, j, len(on[i][1] & on[j][1])) for i, j in combinations(sorted(on), 2) if on[i][0] == on[j][0] and on[i][1] & on[j][1]}
+    got = plans.QUERIES["shared_pages_all"](spark, str(tmp_path))
+    assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+    assert any(on[i][0] == 1 for i, _, _ in want)
