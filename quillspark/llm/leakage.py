@@ -151,6 +151,7 @@ class Phrases:
         self.ids: dict[str, int] = {}
         self.parts: list[tuple[int, str, list[int]]] = []
         self.must: list[set[int]] = []
+        self.sizes: list[int] = []
         seen: dict[str, int] = {}
         folded = []
         for item, question, passage in items:
@@ -170,6 +171,7 @@ class Phrases:
             self.must.append({k for k, w in enumerate(words) if w.isdigit() or (seen.get(w, 0) <= 2 and len(w) > 1)} if part == "question" else set())
             han = sum("一" <= w <= "鿿" for w in words) > len(words) / 2
             size = min(PHRASE[part, han], len(ids))
+            self.sizes.append(size)
             for k in range(len(ids) - size + 1):
                 rows.setdefault(size, []).append((tuple(ids[k : k + size]), number, k))
         self.groups = []
@@ -262,29 +264,67 @@ def _leaks(docs: list[np.ndarray], phrases: Phrases) -> list[tuple[int, int, flo
     out = []
     for k in np.flatnonzero(total >= share[runs[first, 1]] * lengths[runs[first, 1]]):
         d, p = int(runs[first[k], 0]), int(runs[first[k], 1])
-        item, part, ids = phrases.parts[p]
-        score, begin, end, used = chain([tuple(map(int, r)) for r in runs[first[k] : last[k], 2:5]], len(ids))
-        if score < share[p] * len(ids):
-            continue
-        slack = len(ids) // 2 + 6
-        if part == "question":
-            # the exact check: the question aligned with the place found, its own words all there
-            lo, hi = max(0, used[0][0] - used[0][1] - 6), min(len(docs[d]), used[-1][0] + len(ids) - used[-1][1] + 6)
-            same = _aligned(ids, docs[d][lo:hi].tolist())
-            if len(same) >= QUESTION * len(ids) and phrases.must[p] <= same:
-                out.append((d, p, len(same) / len(ids), lo, hi))
-            continue
-        if score >= SURE * len(ids):  # so much of it stands there word for word and in order
-            out.append((d, p, min(1.0, score / len(ids)), begin, end))
-            continue
-        # the exact check: the best local alignment around the place, edits and all
-        lo, hi = max(0, begin - min(used[0][1], slack) - 6), min(len(docs[d]), end + min(len(ids) - used[-1][1], slack) + 6)
-        score, first_token, last_token = local_alignment(np.array(ids), docs[d][lo:hi])
-        if score >= SHARE * len(ids):
-            out.append((d, p, min(1.0, score / len(ids)), lo + first_token, lo + last_token))
+        out += [(d, p, *x) for x in _places([tuple(map(int, r)) for r in runs[first[k] : last[k], 2:5]], phrases, p, docs[d])]
     return out
 
 
+def _covered(runs: list[tuple[int, int, int]]) -> int:
+    """Tokens of the item that stand in any of the runs."""
+    total, reach = 0, 0
+    for j, n in sorted((j, n) for _, j, n in runs):
+        total += max(0, j + n - max(j, reach))
+        reach = max(reach, j + n)
+    return total
+
+
+def _places(runs: list[tuple[int, int, int]], phrases: Phrases, p: int, doc: np.ndarray) -> list[tuple[float, int, int]]:
+    """(share, begin, end) of every place of part p in a document: chains are taken from the runs that are left until those cannot make one. The rest of a passage that has a place is one too, wherever it stands, if it is more than a phrase."""
+    _, part, ids = phrases.parts[p]
+    least = (LIKELY if part == "passage" else 0.3) * len(ids)
+    out: list[tuple[float, int, int]] = []
+    left = sorted(runs)
+    while _covered(left) >= least:
+        score, begin, end, used = chain(left, len(ids))
+        place = _checked(score, begin, end, used, phrases, p, doc) if score >= least else None
+        taken = set(used)
+        if place:
+            out.append(place)
+            left = [r for r in left if r not in taken and not (place[1] <= r[0] and r[0] + r[2] <= place[2])]
+        else:
+            left = [r for r in left if r not in taken]
+    if out and part == "passage":
+        # what the places have of the passage is no leak again unless it makes a place itself; the rest of the passage is
+        inside = [any(b <= i and i + n <= e for _, b, e in out) for i, _, n in runs]
+        had = {x for (_, j, n), x_in in zip(runs, inside) if x_in for x in range(j, j + n)}
+        rest = sorted(r for r, x_in in zip(runs, inside) if not x_in and not had.issuperset(range(r[1], r[1] + r[2])))
+        begin = 0
+        for k, (i, j, n) in enumerate(rest):
+            if k + 1 < len(rest) and j < rest[k + 1][1] <= j + n + 6 and rest[k + 1][0] <= i + n + 6:
+                continue  # a word or two edited
+            group = rest[begin : k + 1]
+            if _covered(group) >= 2 * phrases.sizes[p]:  # less is a phrase that any text may share
+                out.append((min(1.0, _covered(group) / len(ids)), group[0][0], max(a + m for a, _, m in group)))
+            begin = k + 1
+    return out
+
+
+def _checked(score: float, begin: int, end: int, used: list[tuple[int, int, int]], phrases: Phrases, p: int, doc: np.ndarray) -> tuple[float, int, int] | None:
+    """(share, begin, end) of the place that a chain stands for, if enough of the part is there."""
+    _, part, ids = phrases.parts[p]
+    slack = len(ids) // 2 + 6
+    if part == "question":
+        # the exact check: the question aligned with the place found, its own words all there
+        lo, hi = max(0, used[0][0] - used[0][1] - 6), min(len(doc), used[-1][0] + len(ids) - used[-1][1] + 6)
+        same = _aligned(ids, doc[lo:hi].tolist())
+        return (len(same) / len(ids), lo, hi) if len(same) >= QUESTION * len(ids) and phrases.must[p] <= same else None
+    if score >= SURE * len(ids):  # so much of it stands there word for word and in order
+        return min(1.0, score / len(ids)), begin, end
+    # the exact check: the best local alignment around the place, edits and all
+    lo, hi = max(0, begin - min(used[0][1], slack) - 6), min(len(doc), end + min(len(ids) - used[-1][1], slack) + 6)
+    score, first_token, last_token = local_alignment(np.array(ids), doc[lo:hi])
+    return (min(1.0, score / len(ids)), lo + first_token, lo + last_token) if score >= SHARE * len(ids) else None
+
+
 def local_alignment(a: np.ndarray, b: np.ndarray, miss: float = 0.6, gap: float = 0.4) -> tuple[float, int, int]:
     """Best score of a stretch of a against one of b (1 for a match, less `miss` or `gap` for an edit), and where it lies in b. Rows are computed at once: a gap along a row is a running maximum."""
     slope = np.arange(len(b) + 1) * gap

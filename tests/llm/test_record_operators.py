@@ -186,6 +186,30 @@ def test_leaks(spark):
     assert leakage.find_leaks(df.where("false"), items).count() == 0 and leakage.find_leaks(df, items.where("false")).count() == 0
 
 
+def removed(spark, docs):
+    """The words that the removal spans of documents with PASSAGE leave out."""
+    items = spark.createDataFrame([(1, QUESTION, "Yes", PASSAGE)], "item_id bigint, question string, answer string, passage string")
+    df = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
+    out = {k: [] for k in docs}
+    for r in leakage.removal_spans(leakage.find_leaks(df, items)).orderBy("doc_id", "begin_pos").collect():
+        out[r.doc_id] += docs[r.doc_id][r.begin_pos : r.end_pos].split()
+    return out
+
+
+def test_every_place_of_a_leak_is_removed(spark):
+    words = PASSAGE.split()
+    far = lambda n: " ".join(f"other{k}" for k in range(n))
+    docs = {
+        1: f"{PASSAGE} {far(300)} {PASSAGE} {far(7)}",  # it stands there twice
+        2: " ".join([*words[:40], far(90), *words[40:]]),  # halves that are far apart
+        3: " ".join([far(5), *words[:66], far(200), *words[66:], far(5)]),  # the smaller part alone would be no leak
+        4: f"{QUESTION} {far(200)} {QUESTION}",
+    }
+    got = removed(spark, docs)
+    assert got[1] == words * 2 and got[2] == words and got[3] == words
+    assert [w.rstrip("?") for w in got[4] if not w.startswith("other")] == QUESTION.rstrip("?").split() * 2
+
+
 def test_local_alignment_against_brute_force():
     rng = np.random.default_rng(1)
     for _ in range(20):
