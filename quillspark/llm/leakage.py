@@ -7,6 +7,7 @@ kept position, chained in order within a document, and their places are merged i
 
 from __future__ import annotations
 
+import heapq
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -19,8 +20,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .unify import ordinary
 
 PHRASE = {("passage", False): 5, ("passage", True): 8, ("question", False): 4, ("question", True): 6}  # tokens of a phrase by part and Chinese, whose characters are tokens
-LIKELY, SURE = 0.18, 0.36  # share of a passage in exact phrases from which it is aligned, and from which it needs no alignment
+LIKELY = 0.18  # share of a passage in exact phrases from which it is aligned; a third needs no alignment
 SHARE, QUESTION = 0.28, 0.8  # alignment score a token of a passage; share of a question
+GAP = 3.0  # the price of an interruption, however long
 SAMPLE = 4
 SHARD = 500_000  # tokens
 _TOKEN = re.compile("[一-鿿]|[^\\W_一-鿿]+")
@@ -191,29 +193,56 @@ def _spread(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return which, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + begin[which]
 
 
-def chain(runs: list[tuple[int, int, int]], length: int) -> tuple[int, int, int, list[tuple[int, int, int]]]:
-    """Best ordered chain of runs (place in document, place in item, tokens): (score, begin, end, runs). Gaps may be at most as long as the item, shifts cost up to half a phrase."""
+def chain(runs: list[tuple[int, int, int]], length: int, price: float | None = None) -> list[tuple[int, int, int]]:
+    """Best ordered chain of runs (place in document, place in item, tokens). A shift costs up to `price`, however long the interruption; without a price up to half a phrase, and gaps are at most as long as half the item."""
     runs = sorted(runs)
+    most, reach, longest = GAP if price is None else price, 2 * length + 60, max(40, length // 2)
+    if runs[-1][0] - min(i + n for i, _, n in runs) <= max(40, length // 2):
+        price = None  # nothing is far
     best: list[tuple[float, int, int]] = []
+    furthest = 0.0
+    ended: list[tuple[int, int]] = []  # runs by where they end in the document
+    tree = [(0.0, -1)] * (length + 2)  # best score of the ended runs by where they end in the item: a Fenwick tree of maxima
     for k, (i, j, n) in enumerate(runs):
         score, prev = float(n), -1
         for g in range(k - 1, -1, -1):
             a, b, m = runs[g]
-            if i - a > 2 * length + 60:
+            if a < i - reach:
                 break
-            if b < j and a < i and i - (a + m) <= max(40, length // 2):
-                over = max(0, a + m - i, b + m - j)
-                cost = min(3.0, abs((i - j) - (a - b)) * 0.5)
-                if over < n and best[g][0] + n - over - cost > score:
-                    score, prev = best[g][0] + n - over - cost, g
+            have = best[g][0] + n
+            if have <= score or b >= j or a >= i or i - a - m > longest:
+                continue
+            over = a + m - i if a + m - i > b + m - j else b + m - j
+            have -= abs(i - j - a + b) * 0.5 if abs(i - j - a + b) * 0.5 < most else most
+            if over > 0:
+                if over >= n:
+                    continue
+                have -= over
+            if have > score:
+                score, prev = have, g
+        if price is not None:
+            while ended and ended[0][0] <= i:
+                g = heapq.heappop(ended)[1]
+                x = runs[g][1] + runs[g][2] + 1
+                while x < len(tree):
+                    tree[x] = max(tree[x], (best[g][0], g))
+                    x += x & -x
+            if furthest - price + n > score:
+                x, far = j + 1, (0.0, -1)
+                while x:
+                    far = max(far, tree[x])
+                    x -= x & -x
+                if far[0] - price + n > score:
+                    score, prev = far[0] - price + n, far[1]
+            if score > price:  # else no run gains by following it
+                heapq.heappush(ended, (i + n, k))
+                furthest = max(furthest, score)
         best.append((score, prev, k))
-    top = max(best)
-    out, k = [], top[2]
+    out, k = [], max(best)[2]
     while k >= 0:
         out.append(runs[k])
         k = best[k][1]
-    out.reverse()
-    return top[0], out[0][0], out[-1][0] + out[-1][2], out
+    return out[::-1]
 
 
 def _leaks(docs: list[np.ndarray], phrases: Phrases) -> list[tuple[int, int, float, int, int]]:
@@ -270,6 +299,8 @@ def _leaks(docs: list[np.ndarray], phrases: Phrases) -> list[tuple[int, int, flo
 
 def _covered(runs: list[tuple[int, int, int]]) -> int:
     """Tokens of the item that stand in any of the runs."""
+    if len(runs) == 1:
+        return runs[0][2]
     total, reach = 0, 0
     for j, n in sorted((j, n) for _, j, n in runs):
         total += max(0, j + n - max(j, reach))
@@ -282,16 +313,14 @@ def _places(runs: list[tuple[int, int, int]], phrases: Phrases, p: int, doc: np.
     _, part, ids = phrases.parts[p]
     least = (LIKELY if part == "passage" else 0.3) * len(ids)
     out: list[tuple[float, int, int]] = []
-    left = sorted(runs)
+    left = runs
     while _covered(left) >= least:
-        score, begin, end, used = chain(left, len(ids))
-        place = _checked(score, begin, end, used, phrases, p, doc) if score >= least else None
+        # after an interruption a run must bring more than a phrase that any text may share; a question stands in one place
+        used = chain(left, len(ids), 2.0 * phrases.sizes[p] if part == "passage" else None)
+        places = _checked(used, phrases, p, doc) if _covered(used) >= least else []
         taken = set(used)
-        if place:
-            out.append(place)
-            left = [r for r in left if r not in taken and not (place[1] <= r[0] and r[0] + r[2] <= place[2])]
-        else:
-            left = [r for r in left if r not in taken]
+        out += places
+        left = [r for r in left if r not in taken and not any(b <= r[0] and r[0] + r[2] <= e for _, b, e in places)]
     if out and part == "passage":
         # what the places have of the passage is no leak again unless it makes a place itself; the rest of the passage is
         inside = [any(b <= i and i + n <= e for _, b, e in out) for i, _, n in runs]
@@ -308,45 +337,75 @@ def _places(runs: list[tuple[int, int, int]], phrases: Phrases, p: int, doc: np.
     return out
 
 
-def _checked(score: float, begin: int, end: int, used: list[tuple[int, int, int]], phrases: Phrases, p: int, doc: np.ndarray) -> tuple[float, int, int] | None:
-    """(share, begin, end) of the place that a chain stands for, if enough of the part is there."""
+def _checked(used: list[tuple[int, int, int]], phrases: Phrases, p: int, doc: np.ndarray) -> list[tuple[float, int, int]]:
+    """(share, begin, end) of the places that a chain stands for, if enough of the part is there; text that interrupts it for long is no part of them."""
     _, part, ids = phrases.parts[p]
     slack = len(ids) // 2 + 6
     if part == "question":
         # the exact check: the question aligned with the place found, its own words all there
         lo, hi = max(0, used[0][0] - used[0][1] - 6), min(len(doc), used[-1][0] + len(ids) - used[-1][1] + 6)
         same = _aligned(ids, doc[lo:hi].tolist())
-        return (len(same) / len(ids), lo, hi) if len(same) >= QUESTION * len(ids) and phrases.must[p] <= same else None
-    if score >= SURE * len(ids):  # so much of it stands there word for word and in order
-        return min(1.0, score / len(ids)), begin, end
-    # the exact check: the best local alignment around the place, edits and all
-    lo, hi = max(0, begin - min(used[0][1], slack) - 6), min(len(doc), end + min(len(ids) - used[-1][1], slack) + 6)
-    score, first_token, last_token = local_alignment(np.array(ids), doc[lo:hi])
-    return (min(1.0, score / len(ids)), lo + first_token, lo + last_token) if score >= SHARE * len(ids) else None
-
-
-def local_alignment(a: np.ndarray, b: np.ndarray, miss: float = 0.6, gap: float = 0.4) -> tuple[float, int, int]:
-    """Best score of a stretch of a against one of b (1 for a match, less `miss` or `gap` for an edit), and where it lies in b. Rows are computed at once: a gap along a row is a running maximum."""
+        return [(len(same) / len(ids), lo, hi)] if len(same) >= QUESTION * len(ids) and phrases.must[p] <= same else []
+    pieces = [[used[0]]]
+    for r, s in zip(used, used[1:]):
+        if s[0] - (r[0] + r[2]) > max(40, len(ids) // 2):
+            pieces.append([])
+        pieces[-1].append(s)
+    if (same := _covered(used)) * 3 >= len(ids):  # so much of it stands there word for word and in order
+        return [(same / len(ids), x[0][0], x[-1][0] + x[-1][2]) for x in pieces]
+    # the exact check: the best local alignment around each piece, edits and all, as long as what is left can still reach the share
+    total, found = 0.0, []
+    windows = []
+    for k, x in enumerate(pieces):
+        a = pieces[k - 1][-1][1] + pieces[k - 1][-1][2] if k else 0
+        b = pieces[k + 1][0][1] if k + 1 < len(pieces) else len(ids)
+        lo, hi = max(0, x[0][0] - min(x[0][1], slack) - 6), min(len(doc), x[-1][0] + x[-1][2] + min(len(ids) - x[-1][1], slack) + 6)
+        there = set(doc[lo:hi].tolist())
+        windows.append((ids[a:b], lo, hi, sum(x in there for x in ids[a:b]) - (GAP if k else 0)))
+    hope = sum(w[3] for w in windows)
+    for k, (own, lo, hi, most) in enumerate(windows):
+        if hope < SHARE * len(ids):
+            return []
+        score, first_token, last_token = local_alignment(np.array(own), doc[lo:hi], most=GAP, need=SHARE * len(ids) - (hope - most) + (GAP if k else 0))
+        score -= GAP if k else 0
+        total, hope = total + score, hope - most + score
+        found.append((lo + first_token, lo + last_token))
+    return [(min(1.0, total / len(ids)), b, e) for b, e in found] if total >= SHARE * len(ids) else []
+
+
+def local_alignment(a: np.ndarray, b: np.ndarray, miss: float = 0.6, gap: float = 0.4, most: float = np.inf, need: float = 0.0) -> tuple[float, int, int]:
+    """Best score of a stretch of a against one of b (1 for a match, less `miss` or `gap` for an edit, a gap at most `most`), and where it lies in b; it may stop where `need` is out of reach. Rows are computed at once: a gap along a row is a running maximum."""
     slope = np.arange(len(b) + 1) * gap
     row, origin = np.zeros(len(b) + 1), np.arange(len(b) + 1)
+    above, above_origin = row, origin  # the best of all rows so far
     top, where = 0.0, (0, 0)
-    for x in a:
+    present = np.isin(a, b)
+    after = present[::-1].cumsum()[::-1] - present  # matches that the rows below can add
+    for x, more in zip(a, after):
         here = np.zeros(len(b) + 1)
         source = np.arange(len(b) + 1)
         diagonal = row[:-1] + np.where(b == x, 1.0, -miss)
-        up = row - gap
         better = diagonal > 0
         here[1:][better], source[1:][better] = diagonal[better], origin[:-1][better]
-        better = up > here
-        here[better], source[better] = up[better], origin[better]
+        for up, start in ((row - gap, origin), (above - most, above_origin)):
+            better = up > here
+            here[better], source[better] = up[better], start[better]
         lifted = here + slope
         best = np.maximum.accumulate(lifted)
         at = np.maximum.accumulate(np.where(lifted >= best, np.arange(len(best)), 0))
-        row = np.maximum(best - slope, 0.0)
+        row = best - slope
+        highest = np.maximum.accumulate(here)
+        jump = highest - most > row
+        at[jump] = np.maximum.accumulate(np.where(here >= highest, np.arange(len(best)), 0))[jump]
+        row = np.maximum(np.where(jump, highest - most, row), 0.0)
         origin = np.where(row > 0, source[at], np.arange(len(b) + 1))
+        higher = row > above
+        above, above_origin = np.where(higher, row, above), np.where(higher, origin, above_origin)
         j = int(row.argmax())
         if row[j] > top:
             top, where = float(row[j]), (int(origin[j]), j)
+        if top + more < need:
+            break
     return top, where[0], where[1]
 
 

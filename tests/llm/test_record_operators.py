@@ -210,6 +210,23 @@ def test_every_place_of_a_leak_is_removed(spark):
     assert [w.rstrip("?") for w in got[4] if not w.startswith("other")] == QUESTION.rstrip("?").split() * 2
 
 
+def test_interrupted_parts_and_hidden_questions_are_found(spark):
+    words = PASSAGE.split()
+    far = lambda n: " ".join(f"other{k}" for k in range(n))
+    edited = [w if k not in (9, 18) else "edited" for k, w in enumerate(words[:34])]
+    docs = {
+        1: " ".join([*words[10:26], far(20), *words[26:42]]),  # 40 % in two parts
+        2: " ".join([far(9), *words[:15], far(45), *words[50:65]]),
+        3: " ".join([*edited[:17], far(39), *edited[17:]]),
+        4: QUESTION.replace("14.09", "15.77") + " " + far(90) + " " + " ".join(w + " so" * (k % 4 == 3) for k, w in enumerate(QUESTION.split())),  # the decoy has more exact phrases
+        5: " ".join([*words[50:63], far(45), *words[:13]]),  # the other order
+    }
+    items = spark.createDataFrame([(1, QUESTION, "Yes", PASSAGE)], "item_id bigint, question string, answer string, passage string")
+    rows = leakage.find_leaks(spark.createDataFrame(list(docs.items()), "doc_id bigint, text string"), items).collect()
+    assert {(r.doc_id, r.part) for r in rows} == {(1, "passage"), (2, "passage"), (3, "passage"), (4, "question")}
+    assert sorted(docs[2][r.begin_pos : r.end_pos] for r in rows if r.doc_id == 2) == sorted([" ".join(words[:15]), " ".join(words[50:65])])
+
+
 def test_local_alignment_against_brute_force():
     rng = np.random.default_rng(1)
     for _ in range(20):
@@ -221,6 +238,18 @@ def test_local_alignment_against_brute_force():
         assert leakage.local_alignment(a, b)[0] == pytest.approx(h.max())
 
 
+def test_bounded_gaps_against_brute_force():
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        a, b = rng.integers(0, 4, 12), rng.integers(0, 4, 20)
+        h = np.zeros((13, 21))
+        cost = lambda n: min(0.4 * n, 1.0)
+        for i in range(1, 13):
+            for j in range(1, 21):
+                h[i, j] = max(0, h[i - 1, j - 1] + (1 if a[i - 1] == b[j - 1] else -0.6), *(h[i - k, j] - cost(k) for k in range(1, i + 1)), *(h[i, j - k] - cost(k) for k in range(1, j + 1)))
+        assert leakage.local_alignment(a, b, most=1.0)[0] == pytest.approx(h.max())
+
+
 # --- problem 8 ---
 
 EASY, HARD = ["cat", "dog", "sun", "box"], ["heterogeneity", "parameterization", "operationalization", "dimensionality"]
