@@ -23,6 +23,7 @@ from ..session import cut
 FEATURES = 1 << 17  # size of the vector that an iteration sends around, whatever the collection
 LABELS = 20_000  # at most so many graded documents set the borders between levels
 _SENTENCE = re.compile("(?<=[.!?])\\s+|(?<=[。！？])|\\n+")
+_HAN = re.compile("[一-鿿]")
 _WORD = re.compile("[一-鿿]|[^\\W\\d_一-鿿]+")
 #: Frequent words that tell the languages with Latin letters apart.
 FUNCTION_WORDS = {"en": ("the", "of", "and", "a", "to", "in"), "de": ("der", "die", "das", "und", "eine", "ein"), "fr": ("le", "la", "les", "et", "une", "des", "de", "du"), "es": ("el", "la", "los", "y", "una", "de", "del")}
@@ -31,7 +32,7 @@ FUNCTION_WORDS = {"en": ("the", "of", "and", "a", "to", "in"), "de": ("der", "di
 def features(text: str) -> tuple[Counter, str]:
     """Weights of a text's hashed features, and the group of languages it is calibrated in."""
     text = unicodedata.normalize("NFKC", text)
-    east = sum("一" <= c <= "鿿" for c in text[:2000]) * 3 > min(len(text), 2000)
+    east = (not text.isascii()) and len(_HAN.findall(text)) * 3 > len(text)
     out: Counter = Counter()
     words: Counter = Counter()
     for sentence in _SENTENCE.split(text):

@@ -272,3 +272,8 @@ def test_levels_are_learned(spark):
     assert all(r.level == truth[r.doc_id] for r in rows if r.doc_id < 60)
     assert {r.level for r in reading.reading_levels(docs, labels.where("false")).collect()} == {2}
     assert reading.reading_levels(docs.where("false"), labels).count() == 0
+
+
+def test_the_whole_text_tells_its_script():
+    assert reading.features("数据模型。" * 500 + "The data of the model and a long text in English. " * 400)[1] == "en"
+    assert reading.features("The data of the model. " * 100 + "数据模型决定检索结果。" * 2000)[1] == "zh"
