@@ -130,7 +130,6 @@ def borders(score: np.ndarray, level: np.ndarray, group: np.ndarray) -> dict[str
         for t in (1, 2, 3):
             edge = np.unique(score)
             edge = (edge[1:] + edge[:-1]) / 2 if len(edge) > 1 else np.array([t + 0.5])
-            edge = edge[:: max(1, len(edge) // 500)]
             order = np.argsort(score)
             above = level[order] > t
             right = np.concatenate([[0], np.cumsum(np.where(above, -1, 1) * weight[order])])

@@ -277,3 +277,10 @@ def test_levels_are_learned(spark):
 def test_the_whole_text_tells_its_script():
     assert reading.features("数据模型。" * 500 + "The data of the model and a long text in English. " * 400)[1] == "en"
     assert reading.features("The data of the model. " * 100 + "数据模型决定检索结果。" * 2000)[1] == "zh"
+
+
+def test_borders_search_every_edge():
+    score = np.linspace(1, 4, 3000)
+    level = 1.0 + (score > score[700]) + (score > score[1501]) + (score > score[2302])
+    (a, b, c) = reading.borders(score, level, np.array(["en"] * 3000))["en"]
+    assert (1.0 + (score > a) + (score > b) + (score > c) == level).all()
