@@ -24,10 +24,18 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, where its files are fewer than those; a table of any size has more files and stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores / 2 else df
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir where the cluster names one, else a folder of our own (tests only)."""
+    """The folder all executors share: spark.checkpoint.dir where the cluster names one, else a folder of our own (local sessions only)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + os.path.join(tempfile.gettempdir(), "quillspark-checkpoints")
         spark.conf.set("spark.checkpoint.dir", folder) if spark.conf.isModifiable("spark.checkpoint.dir") else None
     return folder
