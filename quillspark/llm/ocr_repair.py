@@ -2,40 +2,51 @@
 
 Page furniture is found by page-number lines and the running headers that stand beside them anywhere in the
 collection; words divided over line ends are joined where the corpus knows the joined word; misread characters
-are corrected by a noisy channel: the probability of each character confusion times the corpus n-gram
-likelihood, decoded line by line by Viterbi over the candidate words.
+are corrected by a noisy channel: the probability of each character confusion, estimated from the collection, times
+the corpus n-gram likelihood, decoded line by line by Viterbi over the candidate words.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions.arrow import map_rows
-from ..session import cut
-from .unify import ordinary_column
+from ..session import cut, spread
+from .coded import WORD, bit_filter, code, numbers_of, pair_numbers, passes, plain, slices
 
-#: Fixed values: (what is read, what was printed, probability of that confusion where it can happen).
+#: Fixed values: (what is read, what was printed, probability of that confusion where it can happen, before any text was seen).
 CONFUSIONS = [
     ("c", "e", 0.01), ("f", "t", 0.01), ("l", "i", 0.01), ("0", "o", 0.02), ("5", "s", 0.02), ("1", "l", 0.02), ("1", "i", 0.01),
     ("cl", "d", 0.01), ("9", "g", 0.02), ("ii", "u", 0.01), ("rn", "m", 0.01), ("b", "h", 0.01), ("m", "in", 0.005), ("h", "li", 0.005),
     ("n", "ri", 0.005), ("vv", "w", 0.01), ("d", "cl", 0.005), ("8", "b", 0.02), ("6", "b", 0.01), ("m", "rn", 0.005), ("i", "l", 0.005),
     ("e", "c", 0.005), ("2", "z", 0.005), ("q", "g", 0.002), ("h", "b", 0.002),
 ]
-#: Chinese characters taken for others of a like shape.
+#: Chinese characters taken for others of a like shape, each with probability HAN at first.
 HAN_CONFUSIONS = dict(zip("旳钓囹教摸牲炼凋捡佔椐玛己末土曰干问体侍持晴渐析拆型径祖侧扬标枸洛核险扳夏拟旧堤网杈准冶清秆汁", "的约图数模性练调检估据码已未士日千间休待特情惭折折形经组测场际构络该验板复似归提冈权维治请科计"))
 
-_BY_FIRST: dict[str, list[tuple[str, str, float]]] = {}
-for _a, _b, _p in CONFUSIONS:
-    _BY_FIRST.setdefault(_a[0], []).append((_a, _b, math.log(_p)))
-_DIGITS_L, _DIGITS_I = str.maketrans("0589126", "osbglzb"), str.maketrans("0589126", "osbgizb")
+HAN = 0.02
+#: Every confusion by its place: those of letters, then of Chinese characters.
+RULES = [(a, b, p) for a, b, p in CONFUSIONS] + [(a, b, HAN) for a, b in HAN_CONFUSIONS.items()]
+START = [p for _, _, p in RULES]
 
-_TOKEN = regex.compile(r"\p{Han}|[\p{L}\p{N}&&[^\p{Han}]]+", regex.V1)
-#: The same tokens in Java's syntax.
-JAVA_TOKEN = r"\p{IsHan}|[\p{L}\p{N}&&[^\p{IsHan}]]+"
+_BY_FIRST: dict[str, list[tuple[str, str, int]]] = {}
+for _k, (_a, _b, _) in enumerate(CONFUSIONS):
+    _BY_FIRST.setdefault(_a[0], []).append((_a, _b, _k))
+_HAN_RULE = {a: len(CONFUSIONS) + k for k, a in enumerate(HAN_CONFUSIONS)}
+#: Both ways of reading digits as letters, with the confusion that each stands for.
+_DIGITS = [({c: next((b, k) for k, (a, b, _) in enumerate(CONFUSIONS) if a == c and b in "osbglizt" and (c != "1" or b == one)) for c in "0589126"}) for one in "li"]
+
+_ENDS = frozenset(".!?。！？:：;；)]\"”’|")
 _NUMBER = regex.compile(r"(?:page|seite|p\.|s\.|página|pág\.)\s*\d{1,4}|[-–—·•]\s*\d{1,4}\s*[-–—·•]|\[\d{1,4}\]|第\s*\d{1,4}\s*页|[ivxlc]{1,7}|\d{1,4}", regex.I)
 _GAP = regex.compile(r"[^\S\n]{3,}|\t")
 _DIVIDED = regex.compile(r"([\p{L}\p{N}]+)[-¬‐\u00AD]$")
@@ -43,13 +54,18 @@ _FIRST = regex.compile(r"[\p{L}\p{N}]+")
 _LETTERS = regex.compile(r"[\p{L}]")
 _SENTENCE_END = regex.compile(r"[.!?。！？:：]['\"”’)\]]*$")
 
-MARGIN = 3  # sections in which a line must stand beside a page number before it counts as a running header
+#: A line is a running header if this share of the sections in which it stands alone have it beside a page number, two more against it being thought of.
+BESIDE = 0.6
+#: How often a word that the collection does not have elsewhere is to be expected, and how much a section's own words count above those of others.
+NOVEL, OWN = 0.4, 10.0
+#: Weight of the table of confusions against what is seen, in places where the confusion could have happened.
+TRUST = 2000.0
 
 
 def _number_line(line: str) -> tuple[bool, str]:
     """(is the line a page number, alone or beside a header; the header, if it has one)."""
     t = line.strip()
-    if not t or len(t) > 90:
+    if not t:
         return False, ""
     if _NUMBER.fullmatch(t):
         return True, ""
@@ -67,22 +83,41 @@ def _header_key(line: str) -> str:
     return regex.sub(r"[^\p{L}\p{N}]+", " ", line.casefold()).strip()
 
 
-def _headerlike(line: str) -> bool:
+def is_page(body: str) -> bool:
+    """Does a line break off inside a sentence? Only pages that were scanned, or set in lines, have one."""
+    k = body.find("\n")
+    while k >= 0:
+        j = k - 1
+        while j >= 0 and body[j] != "\n" and body[j].isspace():
+            j -= 1
+        if j >= 0 and body[j] != "\n" and body[j] not in _ENDS and body[k + 1 : k + 2] not in ("", "\n"):
+            return True
+        k = body.find("\n", k + 1)
+    return False
+
+
+def _width(lines: list[str]) -> int:
+    return max(map(len, lines), default=0)
+
+
+def _headerlike(line: str, width: int) -> bool:
+    """No sentence and no full line."""
     t = line.strip()
-    return 0 < len(t) <= 60 and bool(_LETTERS.search(t)) and not regex.search(r"[,;。，；]", t) and len(t.split()) <= 6
+    return 0 < len(t) <= 0.75 * width and bool(_LETTERS.search(t)) and not regex.search(r"[,;。，；]|[.!?] ", t)
 
 
 def header_evidence(body: str) -> list[tuple[str, int]]:
     """(key, 1 if beside a page number else 0) of lines that may be running headers."""
-    if "\n" not in body:
-        return []
     lines = body.split("\n")
     number = [_number_line(x) for x in lines]
+    if not any(x for x, _ in number):
+        return [(key, 0) for key in {_header_key(x) for x in lines if _headerlike(x, _width(lines))} if key]
+    width = _width(lines)
     out: dict[str, int] = {}
     for k, (line, (is_number, header)) in enumerate(zip(lines, number)):
         if header:
             out[_header_key(header)] = 1
-        elif not is_number and _headerlike(line):
+        elif not is_number and _headerlike(line, width):
             beside = (k and number[k - 1][0] and not number[k - 1][1]) or (k + 1 < len(lines) and number[k + 1][0] and not number[k + 1][1])
             key = _header_key(line)
             if key:
@@ -96,6 +131,7 @@ def strip_furniture(body: str, headers: set[str], title: str | None = None) -> t
     number = [_number_line(x) for x in lines]
     own = _header_key(title) if title else None
     drop = [False] * len(lines)
+    widest = _width(lines)
     for k, (is_number, header) in enumerate(number):
         if not is_number:
             continue
@@ -103,13 +139,13 @@ def strip_furniture(body: str, headers: set[str], title: str | None = None) -> t
             drop[k] = True
             continue
         near = [j for j in (k - 1, k + 1) if 0 <= j < len(lines) and lines[j].strip() and not number[j][0]]
-        hit = [j for j in near if _headerlike(lines[j]) and (_header_key(lines[j]) in headers or _header_key(lines[j]) == own)]
+        hit = [j for j in near if _headerlike(lines[j], widest) and (_header_key(lines[j]) in headers or _header_key(lines[j]) == own)]
         # a bare number or numeral may be text; among words it is a page number if it stands between or beside text lines
         drop[k] = True
         for j in hit[:1] if len(hit) == 1 else [j for j in hit if j == k + 1] or hit[:1]:
             drop[j] = True
     for k, line in enumerate(lines):
-        if not drop[k] and not number[k][0] and _headerlike(line) and _header_key(line) in headers and line.strip().isupper() and not (k and lines[k - 1].strip() and _SENTENCE_END.search(lines[k - 1].strip()) is None and len(lines[k - 1]) < 20):
+        if not drop[k] and not number[k][0] and line.isupper() and _headerlike(line, widest) and _header_key(line) in headers and not (k and lines[k - 1].strip() and _SENTENCE_END.search(lines[k - 1].strip()) is None and len(lines[k - 1]) < 20):
             drop[k] = True
     n = sum(drop)
     if not n:
@@ -135,48 +171,70 @@ def strip_furniture(body: str, headers: set[str], title: str | None = None) -> t
     return out, n
 
 
+def _head(line: str) -> str | None:
+    """The part of a divided word at the end of a line."""
+    last = line.rstrip()
+    m = last and last[-1] in "-¬‐\u00ad" and _DIVIDED.search(last.rpartition(" ")[2])
+    return m.group(1) if m else None
+
+
 def divisions(lines: list[str]) -> list[tuple[int, int, str, str]]:
     """(line, next line with text, head, tail) of words that a mark at a line end may divide."""
     out = []
     for k in range(len(lines) - 1):
-        last = lines[k].rstrip()
-        m = last and last[-1] in "-¬‐\u00ad" and _DIVIDED.search(last[-80:].rpartition(" ")[2])
-        if not m:
+        if (head := _head(lines[k])) is None:
             continue
         j = k + 1
         while j < len(lines) and not lines[j].strip():
             j += 1
-        if j < len(lines) and (f := _FIRST.match(lines[j].lstrip())) and j - k <= 3:
-            out.append((k, j, m.group(1), f.group()))
+        if j < len(lines) and (f := _FIRST.match(lines[j].lstrip())):
+            out.append((k, j, head, f.group()))
+    return out
+
+
+def possible_divisions(body: str) -> set[tuple[str, str]]:
+    """(head, tail) of all words that may be divided, whichever lines turn out to be furniture."""
+    lines = body.split("\n")
+    out = set()
+    for k in range(len(lines) - 1):
+        if (head := _head(lines[k])) is None:
+            continue
+        for j in range(k + 1, len(lines)):
+            if f := _FIRST.match(lines[j].lstrip()):
+                out.add((head, f.group()))
+            if lines[j].strip() and not any(_number_line(lines[i])[0] for i in (j - 1, j, j + 1) if k < i < len(lines)):
+                break  # text: nothing behind it can be the rest of the word
     return out
 
 
-def expand(word: str) -> list[tuple[str, float]]:
-    """Words that may have been printed where `word` was read, with the log probability of the confusions: one of letters, any number of digits."""
+def expand(word: str) -> list[tuple[str, tuple[int, ...]]]:
+    """Words that may have been printed where `word` was read, with the confusions by their places in RULES: one of letters, any number of digits."""
     if len(word) == 1:
-        return [(HAN_CONFUSIONS[word], math.log(0.02))] if word in HAN_CONFUSIONS else []
-    if len(word) < 3 or not any(c.isalpha() for c in word):
+        return [(HAN_CONFUSIONS[word], (_HAN_RULE[word],))] if word in HAN_CONFUSIONS else []
+    if not any(c.isalpha() for c in word):
         return []
-    out: dict[str, float] = {}
+    out: dict[str, tuple[int, ...]] = {}
+
+    def add(w: str, rules: tuple[int, ...]) -> None:
+        if w != word and (w not in out or math.prod(START[r] for r in rules) > math.prod(START[r] for r in out[w])):
+            out[w] = rules
+
     # digits inside a word are read wrongly for certain: all are put right together, then one more confusion may be undone
-    bases = [(word, 0.0)]
-    for table in (_DIGITS_L, _DIGITS_I):
-        w = word.translate(table)
-        if w != word:
-            bases.append((w, math.log(0.02) * sum(c.isdigit() for c in word)))
-            out[w] = bases[-1][1]
+    bases: list[tuple[str, tuple[int, ...]]] = [(word, ())]
+    for table in _DIGITS:
+        if any(c in table for c in word):
+            bases.append(("".join(table[c][0] if c in table else c for c in word), tuple(table[c][1] for c in word if c in table)))
+            add(*bases[-1])
     for base, sure in bases:
         for i in range(len(base)):
-            for a, b, p in _BY_FIRST.get(base[i], ()):
+            for a, b, rule in _BY_FIRST.get(base[i], ()):
                 if base.startswith(a, i):
-                    w = base[:i] + b + base[i + len(a) :]
-                    out[w] = max(out.get(w, -99.0), sure + p)
-    out.pop(word, None)
+                    add(base[:i] + b + base[i + len(a) :], (*sure, rule))
     return list(out.items())
 
 
 def words_of(text: str) -> list[str]:
-    return [m.group() for m in _TOKEN.finditer(text.lower())]
+    return [m.group() for m in WORD.finditer(text.lower())]
 
 
 Suspects = dict[str, list[tuple[str, float, int]]]
@@ -185,19 +243,19 @@ Suspects = dict[str, list[tuple[str, float, int]]]
 def _lattice(words: list[str], suspects: Suspects, own: Counter) -> list[list[tuple[str, float, float | None]]]:
     """(candidate, log channel probability, corpus frequency) of each word; no frequency where there is nothing to choose.
 
-    A word as read is counted without the place in question, but with its repetitions in the section.
+    A word as read is counted without the place in question; words of the section count more than those of others.
     """
     rows = []
     for w in words:
         if w not in suspects:
             rows.append([(w, 0.0, None)])
             continue
-        seen, cands = 0.1, []
+        seen, cands = NOVEL, []
         for c, p, n in suspects[w]:
             if c == w:
-                seen += max(n - 1, 0) + (own[w] - 1 if len(w) > 1 else 0)
-            elif n >= 40 or own[c]:  # a rare word is a candidate only where the section has it
-                cands.append((c, p, float(n + own[c])))
+                seen += max(n - 1, 0)
+            else:
+                cands.append((c, p, n + OWN * own[c]))
         rows.append([(w, math.log(0.95), seen), *cands])
     return rows
 
@@ -286,76 +344,263 @@ def paragraphs(lines: list[str]) -> str:
     return regex.sub(r"\n{3,}", "\n\n", "\n".join(x if x else "" for x in out)).strip()
 
 
-def repair_scans(nodes: DataFrame, id_col: str = "id", body_col: str = "body", title_col: str = "title") -> DataFrame:
-    """id, n_lines, furniture, hyphenation, misread (counts of what was repaired) and repaired text of every stored row.
+# --- counts of the collection --------------------------------------------------------------------------------------
 
-    Null or empty bodies are returned as they are, with zero counts; null titles do not matter; rows that repeat
-    are repaired each for itself, repeated ids included if their texts are equal. Other columns are ignored. An
-    empty table gives none. Line breaks alone are undone but are no damage. Corpus counts are taken over all rows.
-    """
-    base = nodes.select(F.col(id_col).cast("bigint").alias("id"), F.col(title_col).cast("string").alias("title"), F.col(body_col).alias("raw"))
-    # equal texts are repaired once: copies of a section may be very many
-    docs = base.where("length(raw) > 0").select("title", "raw").distinct().withColumn("doc", F.xxhash64("raw", F.coalesce("title", F.lit("")))).withColumn("body", ordinary_column("raw")).select("doc", "title", "body")
-    docs = cut(docs)  # read many times below; Python and the shuffle run once
 
-    def evidence(r: dict):
-        return [(r["doc"], k, e) for k, e in header_evidence(r["body"])]
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of counts by number."""
+    number, at = np.unique(np.concatenate([n for n, _ in parts]), return_inverse=True)
+    return number, np.bincount(at, np.concatenate([c for _, c in parts])).astype(np.int64)
 
-    lined = docs.where("contains(body, '\\n')")
-    found = map_rows(lined.select("doc", "body"), evidence, "doc bigint, key string, beside int")
-    headers = found.groupBy("key").agg(F.sum("beside").alias("n")).where(F.col("n") >= MARGIN).select("key")
-    by_doc = cut(found.join(headers, "key").groupBy("doc").agg(F.collect_set("key").alias("headers")))
 
-    # corpus counts of words, of compounds with their hyphen, and of words put together at line ends
-    plain = docs.select("doc", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("body"), F.lit(JAVA_TOKEN), F.lit(0)))).alias("word"))
-    compounds = docs.select("doc", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("body"), F.lit(r"[\p{L}\p{N}]+-[\p{L}\p{N}]+"), F.lit(0)))).alias("word"))
-    lexicon = cut(plain.unionByName(compounds).groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+_SCAN = "kind string, id bigint, title string, body string, word string, n bigint, n_page bigint"
 
-    def halves(r: dict):
-        lines, _ = strip_furniture(r["body"], set(r["headers"] or ()), r["title"])
-        return {(r["doc"], w) for _, _, x, y in divisions(lines) for w in (x.lower(), y.lower(), (x + y).lower(), f"{x}-{y}".lower())}
 
-    pages = lined.join(by_doc, "doc", "left")
-    parts = cut(map_rows(pages.where(r"body rlike '[-¬‐\\x{00AD}][ \\t\\x{00A0}]*\\n'").select("doc", "title", "body", "headers"), halves, "doc bigint, word string"))
-    joined = parts.select("word").distinct().join(lexicon, "word", "left")
+def scan(texts: DataFrame) -> DataFrame:
+    """One pass over all texts: rows of kind "page" (id, title, body in ordinary characters) and of kind "word" (word, n, n_page: occurrences in all texts and on pages; sums of one task).
 
-    # confusable words: candidates that the corpus knows better than the word as read
+    Compounds with their hyphen count as words, too. texts: id, title, body.
+    """
+    types = to_arrow_schema(StructType.fromDDL(_SCAN))
+
+    def batch_of(kind: str, size: int, **columns: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([kind] * size if f.name == "kind" else columns.get(f.name, [None] * size), f.type) for f in types], schema=types)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        names: dict[int, str] = {}
+        known = np.zeros(0, np.int64)
+
+        def words() -> pa.RecordBatch:
+            number, n = _merged(parts)
+            out: dict[str, list[int]] = {}
+            for x, c in zip(number.tolist(), n.tolist()):  # the lowest bit keeps pages apart
+                own = out.setdefault(names[x & ~1], [0, 0])
+                own[0] += c
+                own[1] += c if x & 1 else 0
+            return batch_of("word", len(out), word=list(out), n=[a for a, _ in out.values()], n_page=[b for _, b in out.values()])
+
+        for batch in batches:
+            bodies = batch.column("body").to_pylist()
+            for a, z in slices(list(map(len, bodies))):
+                texts = plain(bodies[a:z])
+                page = np.array([is_page(t) for t in texts], bool)
+                at = np.flatnonzero(page)
+                if len(at):
+                    rows = batch.slice(a, z - a).take(pa.array(at))
+                    yield batch_of("page", len(at), id=rows.column("id"), title=rows.column("title"), body=[texts[k] for k in at])
+                c = code(texts)
+                bound = np.flatnonzero((c.begin[1:] == c.end[:-1] + 1) & (c.doc[1:] == c.doc[:-1]))
+                bound = bound[[c.text[k] == "-" for k in c.end[bound].tolist()]] if len(bound) else bound
+                number = np.concatenate([c.number, pair_numbers(c.number)[bound]]) & ~1
+                doc, begin, end = (np.concatenate([x, x[y]]) for x, y in ((c.doc, bound), (c.begin, bound), (c.end, bound + 1)))
+                uniq, n = np.unique(number | page[doc], return_counts=True)
+                parts.append((uniq, n))
+                fresh = np.setdiff1d(uniq & ~1, known)
+                if len(fresh):
+                    for k in np.flatnonzero(np.isin(number, fresh)).tolist():
+                        if (x := int(number[k])) not in names:
+                            names[x] = c.text[begin[k] : end[k]]
+                    known = np.union1d(known, fresh)
+                if len(names) > 1_000_000:
+                    yield words()
+                    parts, names, known = [], {}, np.zeros(0, np.int64)
+                elif len(parts) > 64:
+                    parts = [_merged(parts)]
+        if parts:
+            yield words()
+
+    return texts.mapInArrow(run, _SCAN)
+
+
+def count_pairs(texts: DataFrame, wanted: np.ndarray) -> DataFrame:
+    """g, n: occurrences of neighbouring words by the pair's number, of the pairs that the bit filter lets through."""
+    shared = texts.sparkSession.sparkContext.broadcast(wanted)  # of fixed size
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            texts = batch.column("body").to_pylist()
+            for a, z in slices(list(map(len, texts))):
+                c = code(plain(texts[a:z]))
+                g = pair_numbers(c.number)[c.doc[1:] == c.doc[:-1]]
+                parts.append(np.unique(g[passes(shared.value, g)], return_counts=True))
+            if len(parts) > 64:
+                parts = [_merged(parts)]
+                if len(parts[0][0]) > 2_000_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(parts[0][0]), pa.array(parts[0][1])], names=["g", "n"])
+                    parts = []
+        if parts:
+            g, n = _merged(parts)
+            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(n)], names=["g", "n"])
+
+    return texts.select("body").mapInArrow(count, "g bigint, n bigint").groupBy("g").agg(F.sum("n").alias("n"))
+
+
+# --- the channel ----------------------------------------------------------------------------------------------------
+
+
+def _channel(rules: Iterable[int], p: list[float]) -> float:
+    return math.prod(p[r] for r in rules)
+
+
+def confusion_rates(candidates: DataFrame, lexicon: DataFrame, rounds: int = 2) -> list[float]:
+    """Probability of each of RULES, from the table and what the collection shows: a few rounds of expectation and maximisation.
+
+    candidates: n_read, n_page, cands (word, rules, n), one row for each word as read. A reading is shared out between the
+    word itself and what may have been printed; what falls to a confusion, over the places where it could have happened
+    on a page, is its next probability.
+    """
+
+    def chances(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(len(RULES))
+        for pdf in batches:
+            for word, n in zip(pdf["word"], pdf["n_page"]):
+                for k, (_, b, _) in enumerate(RULES):
+                    if b in word:
+                        total[k] += n * word.count(b)
+        yield pd.DataFrame({"rule": np.arange(len(RULES)), "x": total})
+
+    def falls(p: list[float]):
+        def expect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros(len(RULES))
+            for pdf in batches:
+                for n_read, n_page, cands in zip(pdf["n_read"], pdf["n_page"], pdf["cands"]):
+                    weights = [c["n"] * _channel(c["rules"], p) for c in cands]
+                    every = sum(weights) + NOVEL + max(n_read - 1, 0)
+                    for w, c in zip(weights, cands):
+                        for r in c["rules"]:
+                            total[r] += n_page * w / every
+            yield pd.DataFrame({"rule": np.arange(len(RULES)), "x": total})
+
+        return expect
+
+    def summed(df: DataFrame, f) -> np.ndarray:
+        out = np.zeros(len(RULES))
+        for r in df.mapInPandas(f, "rule int, x double").groupBy("rule").agg(F.sum("x").alias("x")).collect():  # a row for each of RULES
+            out[r.rule] = r.x
+        return out
+
+    possible = summed(lexicon.where("n_page > 0").select("word", "n_page"), chances)
+    p = START
+    for _ in range(rounds):
+        seen = summed(candidates.select("n_read", "n_page", "cands"), falls(p))
+        p = [(s + TRUST * q) / (o + TRUST) for s, q, o in zip(seen, START, possible)]
+        # pages without any damage are among those counted: a damaged one has as much as the table says, spread as the collection shows
+        level = (possible * START).sum() / max((possible * p).sum(), 1e-9) if possible.any() else 1.0
+        p = [min(0.3, max(1e-5, x * level)) for x in p]
+    return p
+
+
+# --- repair ---------------------------------------------------------------------------------------------------------
+
+#: Salts of the lines that may be headers: one header may stand in a third of all sections.
+SALTS = 16
+
+
+_REPAIRED = "id bigint, n_lines int, furniture int, hyphenation int, misread int, repaired string"
+
+
+def repair_pages(nodes: DataFrame, id_col: str = "id", body_col: str = "body", title_col: str = "title") -> DataFrame:
+    """id, n_lines, furniture, hyphenation, misread (counts of what was repaired) and repaired text of every stored row that is a page.
+
+    Pages are told by a line that breaks off inside a sentence. Null and empty bodies are none; null titles and ids do
+    not matter; rows that repeat are repaired each for itself, whatever their ids. Other columns are ignored. An empty table gives none. Line breaks alone are undone but
+    are no damage. Corpus counts are taken over all rows.
+    """
+    base = nodes.select(F.col(id_col).cast("bigint").alias("id"), F.col(title_col).cast("string").alias("title"), F.col(body_col).alias("body"))
+    texts = spread(base.where("length(body) > 0"))
+    # pages are read several times below, and their row numbers must not change
+    scanned = cut(scan(texts).withColumn("doc", F.monotonically_increasing_id()))
+    pages = scanned.where("kind = 'page'").select("doc", "id", "title", "body")
+    lexicon = cut(scanned.where("kind = 'word'").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_page").alias("n_page")))
+
+    def evidence(r: dict):
+        out = [(r["doc"], "h", key, beside) for key, beside in header_evidence(r["body"])]
+        parts = {w for x, y in possible_divisions(r["body"]) for w in (x.lower(), y.lower(), (x + y).lower(), f"{x}-{y}".lower())}
+        return out + [(r["doc"], "p", w, 0) for w in parts]
+
+    found = cut(map_rows(pages.select("doc", "body"), evidence, "doc bigint, kind string, key string, beside int"))
+    headers = found.where("kind = 'h'").groupBy("key").agg(F.sum("beside").alias("b"), F.count(F.lit(1)).alias("n")).where(F.col("b") >= BESIDE * (F.col("n") + 2))
+    parts = found.where("kind = 'p'").select(F.col("key").alias("word")).distinct()
+    known = parts.join(lexicon.select("word", "n"), "word")
+
+    # what may have been printed where a word was read
     def candidates(r: dict):
-        return [(r["word"], r["n"], c, p) for c, p in expand(r["word"])]
+        return [(r["read"], r["n_read"], r["n_page"], c, list(rules)) for c, rules in expand(r["read"])]
 
-    every = plain.select("word").unionByName(parts.select("word")).distinct().join(lexicon, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n"))
-    suspects = (
-        map_rows(every, candidates, "read string, n_read bigint, word string, channel double")
-        .join(lexicon.where("n >= 2"), "word")
-        .where("n > 20 * (n_read - 1)")
+    reads = lexicon.where("n_page > 0 and not contains(word, '-')").select(F.col("word").alias("read"), F.col("n").alias("n_read"), "n_page")
+    divided = parts.where("not contains(word, '-')").join(lexicon, "word", "left_anti").select(F.col("word").alias("read"), F.lit(0).cast("bigint").alias("n_read"), F.lit(0).cast("bigint").alias("n_page"))
+    every = cut(
+        map_rows(reads.unionByName(divided), candidates, "read string, n_read bigint, n_page bigint, word string, rules array<int>")
+        .join(lexicon.select("word", "n"), "word")
         .groupBy("read")
-        .agg(F.first("n_read").alias("n_read"), F.collect_list(F.struct(F.col("word").alias("c"), F.col("channel").alias("p"), "n")).alias("cands"))  # at most the expansions of one word
+        .agg(F.first("n_read").alias("n_read"), F.first("n_page").alias("n_page"), F.collect_list(F.struct("word", "rules", "n")).alias("cands"))  # at most the expansions of one word
+    )
+    rates = confusion_rates(every, lexicon)
+
+    def suspicious(r: dict):
+        # those that could win if all their occurrences were in one section
+        fit = [{"c": c["word"], "p": math.log(p), "n": c["n"]} for c in r["cands"] if (p := _channel(c["rules"], rates)) * (1 + OWN) * c["n"] >= 0.95 * (NOVEL + max(r["n_read"] - 1, 0))]
+        return [(r["read"], int(numbers_of([r["read"]])[0]), r["n_read"], fit)] if fit else []
+
+    suspects = cut(map_rows(every, suspicious, "read string, number bigint, n_read bigint, cands array<struct<c:string,p:double,n:bigint>>"))
+    shared = nodes.sparkSession.sparkContext.broadcast(bit_filter(suspects, "number"))  # of fixed size
+
+    def occurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, docs = batch.column("body").to_pylist(), batch.column("doc").to_numpy()
+            for a, z in slices(list(map(len, texts))):
+                c = code(texts[a:z])
+                at = np.flatnonzero(passes(shared.value, c.number))
+                words = {(d, c.text[i:j]) for d, i, j in zip(c.doc[at].tolist(), c.begin[at].tolist(), c.end[at].tolist())}
+                yield pa.RecordBatch.from_arrays([pa.array([docs[a + d] for d, _ in words], pa.int64()), pa.array([w for _, w in words], pa.string())], names=["doc", "key"])
+
+    # what each page has of headers, known words and suspects: found by one join, brought to the page by another
+    salt = F.pmod("doc", F.lit(SALTS)).cast("int")
+    wanted = (
+        pages.select("doc", "body").mapInArrow(occurring, "doc bigint, key string").select("doc", F.lit("s").alias("kind"), "key", F.lit(0).alias("salt"))
+        .unionByName(found.where("kind = 'p'").select("doc", F.explode(F.array(F.lit("s"), F.lit("p"))).alias("kind"), "key", F.lit(0).alias("salt")))
+        .unionByName(found.where("kind = 'h'").select("doc", "kind", "key", salt.alias("salt")))
+    )
+    none = F.lit(None).cast("array<struct<c:string,p:double,n:bigint>>")
+    facts = (
+        suspects.select(F.lit("s").alias("kind"), F.col("read").alias("key"), F.lit(0).alias("salt"), F.col("n_read").alias("n"), "cands")
+        .unionByName(known.select(F.lit("p").alias("kind"), F.col("word").alias("key"), F.lit(0).alias("salt"), "n", none.alias("cands")))
+        .unionByName(headers.select(F.lit("h").alias("kind"), "key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), "n", none.alias("cands")))
     )
-    occurring = plain.unionByName(parts).distinct().join(suspects, plain["word"] == suspects["read"]).groupBy("doc").agg(F.collect_list(F.struct("read", "n_read", "cands")).alias("suspects"))
-    known = parts.join(joined, "word").where("n is not null").groupBy("doc").agg(F.collect_list(F.struct("word", "n")).alias("known"))
-    work = cut(docs.join(by_doc, "doc", "left").join(occurring, "doc", "left").join(known, "doc", "left"))
+    lists = wanted.join(facts, ["kind", "key", "salt"]).groupBy("doc").agg(F.collect_set(F.struct("kind", "key", "n", "cands")).alias("facts"))
+    work = cut(pages.join(lists, "doc", "left"))
 
     def prepared(r: dict) -> tuple[list[str], int, int, Suspects]:
-        lines, furniture = strip_furniture(r["body"], set(r["headers"] or ()), r["title"]) if "\n" in r["body"] else ([r["body"]], 0)
-        known = {x["word"]: x["n"] for x in r["known"] or ()}
-        suspects: Suspects = {x["read"]: [(x["read"], 0.0, x["n_read"]), *((c["c"], c["p"], c["n"]) for c in x["cands"])] for x in r["suspects"] or ()}
+        have = r["facts"] or ()
+        headers = {x["key"] for x in have if x["kind"] == "h"}
+        known = {x["key"]: x["n"] for x in have if x["kind"] == "p"}
+        suspects: Suspects = {x["key"]: [(x["key"], 0.0, x["n"]), *((c["c"], c["p"], c["n"]) for c in x["cands"])] for x in have if x["kind"] == "s"}
+        lines, furniture = strip_furniture(r["body"], headers, r["title"])
         for w, cands in suspects.items():  # a word divided over a line end may be misread, too
-            if w not in known and len(cands) > 1 and cands[0][2] == 0:
+            if w not in known and cands[0][2] == 0:
                 known[w] = max(n for _, _, n in cands[1:])
-        lines, hyphenation = join_lines(lines, known) if len(lines) > 1 else (lines, 0)
+        lines, hyphenation = join_lines(lines, known)
         return lines, furniture, hyphenation, suspects
 
-    def contexts(r: dict):
-        lines, _, _, suspects = prepared(r)
-        split = [words_of(x) for x in lines]
-        own = Counter(w for x in split for w in x)
-        return [(r["doc"], a, b) for a, b in needed_bigrams(split, suspects, own)]
-
-    needed = map_rows(work.where("suspects is not null"), contexts, "doc bigint, a string, b string")
-    row = F.regexp_extract_all(F.lower("body"), F.lit(JAVA_TOKEN), F.lit(0))
-    pairs = docs.select(row.alias("w")).where("size(w) > 1").select(F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.struct(F.element_at("w", i).alias("a"), F.element_at("w", i + 1).alias("b")))).alias("x")).select("x.*")
-    counted = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    bigrams = needed.join(counted, ["a", "b"]).groupBy("doc").agg(F.collect_list(F.struct("a", "b", "n")).alias("bigrams"))
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[int, str, str]] = []
+            for r in batch.to_pylist():
+                lines, _, _, suspects = prepared(r)
+                split = [words_of(x) for x in lines]
+                out += [(r["doc"], a, b) for a, b in needed_bigrams(split, suspects, Counter(w for x in split for w in x))]
+            vocabulary = list({w for _, a, b in out for w in (a, b)})
+            place = {w: k for k, w in enumerate(vocabulary)}
+            number = numbers_of(vocabulary)
+            pair = np.array([(place[a], place[b]) for _, a, b in out], np.int64).reshape(-1, 2)
+            g = pair_numbers(number[pair.ravel()])[::2] if len(pair) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([d for d, _, _ in out], pa.int64()), pa.array([a for _, a, _ in out], pa.string()), pa.array([b for _, _, b in out], pa.string()), pa.array(g, pa.int64())], names=["doc", "a", "b", "g"])
+
+    needed = cut(work.where("exists(facts, x -> x.kind = 's')").mapInArrow(contexts, "doc bigint, a string, b string, g bigint"))
+    counted = count_pairs(texts, bit_filter(needed, "g")).where("n > 1")
+    bigrams = needed.join(counted, "g").groupBy("doc").agg(F.collect_list(F.struct("a", "b", "n")).alias("bigrams"))
 
     def finish(r: dict):
         lines, furniture, hyphenation, suspects = prepared(r)
@@ -369,7 +614,7 @@ def repair_scans(nodes: DataFrame, id_col: str = "id", body_col: str = "body", t
                     continue
                 best = viterbi(words, suspects, own, counts)
                 wrong = [i for i, (a, b) in enumerate(zip(words, best)) if a != b]
-                at = [m.span() for m in _TOKEN.finditer(lines[k])] if wrong else []
+                at = [m.span() for m in WORD.finditer(lines[k])] if wrong else []
                 misread += len(wrong)
                 if len(at) == len(words):  # lower-casing may change the number of tokens in rare scripts
                     text = lines[k]
@@ -377,20 +622,31 @@ def repair_scans(nodes: DataFrame, id_col: str = "id", body_col: str = "body", t
                         b, e = at[i]
                         text = text[:b] + _cased(text[b:e], best[i]) + text[e:]
                     lines[k] = text
-        return [(r["doc"], r["body"].count("\n") + 1, furniture, hyphenation, misread, paragraphs(lines) if "\n" in r["body"] else "\n".join(lines))]
+        return [(r["id"], r["body"].count("\n") + 1, furniture, hyphenation, misread, paragraphs(lines))]
 
     fixed = map_rows(
-        work.join(bigrams, "doc", "left").select("doc", "title", "body", "headers", "suspects", "known", "bigrams"),
+        work.join(bigrams, "doc", "left").select("id", "title", "body", "facts", "bigrams"),
         finish,
-        "doc bigint, n_lines int, furniture int, hyphenation int, misread int, repaired string",
-    )
-    out = base.withColumn("doc", F.when(F.length("raw") > 0, F.xxhash64("raw", F.coalesce("title", F.lit(""))))).join(fixed, "doc", "left")
-    return out.select(
-        "id",
-        F.coalesce("n_lines", F.lit(0)).alias("n_lines"),
-        *[F.coalesce(c, F.lit(0)).alias(c) for c in ("furniture", "hyphenation", "misread")],
-        F.coalesce("repaired", "raw").alias("repaired"),
+        _REPAIRED,
     )
+    return fixed
+
+
+def repair_scans(nodes: DataFrame, id_col: str = "id", body_col: str = "body", title_col: str = "title") -> DataFrame:
+    """The rows of repair_pages and, with zero counts, those of all other bodies, in ordinary characters and with their lines joined; every stored row once.
+
+    Null and empty bodies are returned as they are, with no lines.
+    """
+    rest = nodes.select(F.col(id_col).cast("bigint").alias("id"), F.col(body_col).alias("body"))
+
+    def join(r: dict):
+        b = r["body"]
+        if not b:
+            return [(r["id"], 0, 0, 0, 0, b)]
+        t = plain([b])[0]
+        return [] if is_page(t) else [(r["id"], b.count("\n") + 1, 0, 0, 0, paragraphs(t.split("\n")) if "\n" in t else t)]
+
+    return repair_pages(nodes, id_col, body_col, title_col).unionByName(map_rows(rest, join, _REPAIRED))
 
 
 def damage(repaired: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ def p1_repair(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    return ocr_repair.damage(p1_repair(spark, sf))
+    return ocr_repair.damage(ocr_repair.repair_pages(table(spark, sf, "section_nodes")))
 
 
 def p2_entities(spark: SparkSession, sf: str) -> DataFrame:
