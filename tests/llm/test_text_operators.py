@@ -150,3 +150,21 @@ def test_unify_classes(spark):
     assert by[7].canonical == by[1].canonical  # a control character cannot be seen
     assert not by[4].changed and by[2].changed and by[3].changed
     assert unify.unify(df.where("false"), ["id"], "title").count() == 0
+
+
+def test_collation_decides_the_class(spark):
+    """Values that only the collation takes for equal fall into one class; look-alikes come from the confusables data."""
+    table = unify.twins(spark)
+    assert table["а"] == "a" and table["Ꭰ"] == "D" and "γ" not in table
+    rows = ["café pl​an", "café plan", "café⁠ plan", "cafe plan", "Ꭰata рaper", "γx", None, ""]
+    df = spark.createDataFrame(list(enumerate(rows)), "id int, t string")
+    out = {r.id: (r.canonical, r.changed) for r in unify.unify(df, ["id"], "t").collect()}
+    assert out[0] == ("café plan", True) and out[1] == ("café plan", False) and out[2] == ("café plan", True)
+    assert out[3] == ("cafe plan", False) and out[4] == ("Data paper", True) and out[5] == ("γx", False)
+    assert out[6] == (None, False) and out[7] == ("", False)
+
+
+def test_repair_keeps_every_row_once(spark):
+    body = "The lexical base-\nline improves the index."
+    df = nodes(spark, [body, body, body]).withColumn("title", F.expr("case id when 1 then null when 2 then '' else 'x' end")).withColumn("id", F.expr("least(id, 2)"))
+    assert sorted(r.id for r in ocr_repair.repair_scans(df).collect()) == [1, 2, 2]
