@@ -52,6 +52,11 @@ _GAP = regex.compile(r"[^\S\n]{3,}|\t")
 _DIVIDED = regex.compile(r"([\p{L}\p{N}]+)[-¬‐\u00AD]$")
 _FIRST = regex.compile(r"[\p{L}\p{N}]+")
 _LETTERS = regex.compile(r"[\p{L}]")
+_OTHER = regex.compile(r"[^\p{L}\p{N}]+")
+_CLAUSES = regex.compile(r"[,;。，；]|[.!?] ")
+_OWN_LINE = regex.compile(r"[-•*·]\s|\(?\p{L}\)\s|\d+[.)]\s|Table \d|[\d.]+(?:\s[\d.]+)+$")
+_TABLE_ROW = regex.compile(r"Table \d+$|[\d.]+(?:\s[\d.]+)+$")
+_EAST_END, _EAST_START, _EAST_MARK = regex.compile(r"[\p{Han}，。；：！？）]"), regex.compile(r"[\p{Han}\p{L}\d，。；：！？（\[]"), "，。；：！？）"
 _SENTENCE_END = regex.compile(r"[.!?。！？:：]['\"”’)\]]*$")
 
 #: A line is a running header if this share of the sections in which it stands alone have it beside a page number, two more against it being thought of.
@@ -80,7 +85,7 @@ def _number_line(line: str) -> tuple[bool, str]:
 
 
 def _header_key(line: str) -> str:
-    return regex.sub(r"[^\p{L}\p{N}]+", " ", line.casefold()).strip()
+    return _OTHER.sub(" ", line.casefold()).strip()
 
 
 def is_page(body: str) -> bool:
@@ -103,7 +108,7 @@ def _width(lines: list[str]) -> int:
 def _headerlike(line: str, width: int) -> bool:
     """No sentence and no full line."""
     t = line.strip()
-    return 0 < len(t) <= 0.75 * width and bool(_LETTERS.search(t)) and not regex.search(r"[,;。，；]|[.!?] ", t)
+    return 0 < len(t) <= 0.75 * width and bool(_LETTERS.search(t)) and not _CLAUSES.search(t)
 
 
 def header_evidence(body: str) -> list[tuple[str, int]]:
@@ -331,17 +336,18 @@ def join_lines(lines: list[str], known: dict[str, int]) -> tuple[list[str], int]
 
 def paragraphs(lines: list[str]) -> str:
     """Lines joined into paragraphs; blank lines, list items and table rows keep their own lines."""
-    out: list[str] = []
+    out: list[list[str]] = []
     for line in lines:
         t = line.strip()
         if not t:
-            out.append("")
-        elif out and out[-1] and not regex.match(r"[-•*·]\s|\(?\p{L}\)\s|\d+[.)]\s|Table \d|[\d.]+(?:\s[\d.]+)+$", t) and not regex.match(r"Table \d+$|[\d.]+(?:\s[\d.]+)+$", out[-1]):
-            glue = "" if regex.search(r"[\p{Han}，。；：！？）]$", out[-1]) and regex.match(r"[\p{Han}\p{L}\d，。；：！？（\[]", t) or regex.match(r"[，。；：！？）]", t) else " "
-            out[-1] += glue + t
+            out.append([])
+        elif out and out[-1] and not _OWN_LINE.match(t) and not (len(out[-1]) == 1 and _TABLE_ROW.match(out[-1][0])):
+            if not (t[0] in _EAST_MARK or _EAST_END.match(out[-1][-1][-1]) and _EAST_START.match(t)):
+                out[-1].append(" ")
+            out[-1].append(t)
         else:
-            out.append(t)
-    return regex.sub(r"\n{3,}", "\n\n", "\n".join(x if x else "" for x in out)).strip()
+            out.append([t])
+    return regex.sub(r"\n{3,}", "\n\n", "\n".join("".join(x) for x in out)).strip()
 
 
 # --- counts of the collection --------------------------------------------------------------------------------------
