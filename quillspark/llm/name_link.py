@@ -34,6 +34,8 @@ TITLES = {"dr", "prof", "professor", "mr", "mrs", "ms", "sir", "phd", "md", "jr"
 
 _MARKS = regex.compile(r"[*†‡§#¹²³⁰-⁹\d]+")
 _ACRONYM = regex.compile(r"\((\p{Lu}{2,8})\)")
+_JOINTS = regex.compile("[ -]+")
+_GAPS = regex.compile(r"[\s,;]+")
 _INITIALS = regex.compile(r"(?:\p{L}\.-?)+|\p{L}")
 
 
@@ -47,7 +49,7 @@ def parse(name: str) -> dict:
     text = "".join(c for c in name if unicodedata.category(c) != "Cf")
     acronym = _ACRONYM.search(text)
     text = unicodedata.normalize("NFKC", _MARKS.sub("", _ACRONYM.sub(" ", text)))
-    parts = [t for t in regex.split(r"[\s,;]+", text.strip()) if t]
+    parts = [t for t in _GAPS.split(text.strip()) if t]
     while parts and fold(parts[0]).rstrip(".") in TITLES:
         parts.pop(0)
     while len(parts) > 1 and fold(parts[-1]).rstrip(".") in TITLES:
@@ -132,10 +134,11 @@ def shards(word: str) -> list[str]:
     """Shards in which every word within one edit of this one is met.
 
     One edit leaves two of a word's first, middle and last parts alone: long words share their beginning, their end,
-    or both edges, short ones their first or last letters; and the shorter length of the two.
+    or both edges, short ones their first or last letters (two letters may be swapped); and the shorter length of the two.
+    Blanks and hyphens do not count. Single letters are initials, not words: two of them are never near.
     """
-    core = regex.split(r"[ -]", word)[-1] or word
-    out = []
+    core = _JOINTS.sub("", word) or word
+    out = [f"2~{''.join(sorted(core))}"] if len(core) == 2 else []
     for n in (len(core) - 1, len(core)):
         if n >= 8:
             k = min(3, (n - 2) // 3)
@@ -143,7 +146,9 @@ def shards(word: str) -> list[str]:
         elif n >= 3:
             k = max(1, (n - 1) // 2)
             out += [f"{n}<{core[:k]}", f"{n}>{core[-k:]}"]
-    return out
+        elif n:
+            out += [f"{n}<{core[0]}", f"{n}>{core[-1]}"]
+    return list(dict.fromkeys(out))
 
 
 def near_words(words: DataFrame) -> DataFrame:
@@ -160,7 +165,7 @@ def near_words(words: DataFrame) -> DataFrame:
 
         def found() -> list[tuple[str, str]]:
             trie = build_trie(held) if len(held) > 1 else {}
-            return [(w, u) for w in held for u in automaton_search(trie, w) if u != w] if trie else []
+            return [(w, u) for w in held for u in automaton_search(trie, w) if u != w and max(len(u), len(w)) > 1] if trie else []
 
         for pdf in batches:
             out = []
@@ -192,8 +197,8 @@ def spellings(papers: DataFrame, citations: DataFrame, digests: DataFrame) -> Da
     return stored.unionByName(of_json(citations)).unionByName(of_json(digests)).where("length(trim(name)) > 0").distinct()
 
 
-def _one(df: DataFrame, by: str, *order: Column) -> DataFrame:
-    return df.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where("_r = 1").drop("_r")
+def _one(df: DataFrame, by: list[str], *order: Column) -> DataFrame:
+    return df.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_r = 1").drop("_r")
 
 
 def link_names(names: DataFrame) -> DataFrame:
@@ -214,12 +219,14 @@ def link_names(names: DataFrame) -> DataFrame:
                 rows.append((name, n, p["kind"], words, p["initials"], p["shorts"], p["acronym"]))
             yield pd.DataFrame(rows, columns=["name", "n", "kind", "words", "initials", "shorts", "acronym"])
 
+    read = cut(names.groupBy("name").agg(F.count(F.lit(1)).alias("n")).mapInPandas(parsed, _PARSED).withColumn("set", F.array_join("words", "|")))
+    # two words without a linker are read as a person's name: with the words of an organisation they are that one
+    bodies = read.where("kind = 'o' and size(words) = 2").select("set").distinct().withColumn("body", F.lit(True))
     forms = cut(
-        names.groupBy("name")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .mapInPandas(parsed, _PARSED)
+        read.join(bodies, "set", "left")
+        .withColumn("kind", F.when(F.col("body") & (F.col("kind") == "p") & (F.col("initials") == ""), F.lit("o")).otherwise(F.col("kind")))
         .withColumn("node", F.concat_ws("|", "kind", F.array_join("words", "|"), F.when(F.col("kind").isin("p", "i"), F.col("initials")), F.array_join("shorts", "|"), F.when(F.col("kind") == "a", F.col("acronym"))))
-        .withColumn("set", F.array_join("words", "|"))
+        .drop("body")
     )
     # sets of words with how often they are used; words with how many sets they are part of
     sets = cut(forms.where("kind in ('p', 'o')").groupBy("kind", "set").agg(F.sum("n").alias("n"), F.first("words").alias("words")))
@@ -248,12 +255,14 @@ def link_names(names: DataFrame) -> DataFrame:
     shared = moved.where("not nick and d > 1 and d2 < 8 * d").select("kind", "set", "target").distinct()
     shared = shared.join(works, ["kind", "set"]).join(works.withColumnRenamed("set", "target"), ["kind", "target", "work"]).select("kind", "set", "target").distinct().withColumn("met", F.lit(True))
     moved = moved.join(shared, ["kind", "set", "target"], "left").where("nick or d <= 1 or d2 >= 8 * d or met")
-    step = _one(moved, "set", F.desc("nick"), F.desc("m"), F.asc("target")).select("kind", "set", "target")
-    roots = sets.select("kind", "set").join(step, ["kind", "set"], "left").withColumn("root", F.coalesce("target", "set")).drop("target")
-    for _ in range(2):  # each step leads to a set of more common words or a full form: chains are short, their length is halved each time
-        roots = cut(roots)
+    step = _one(moved, ["kind", "set"], F.desc("nick"), F.desc("m"), F.asc("target")).select("kind", "set", "target")
+    roots = cut(sets.select("kind", "set").join(step, ["kind", "set"], "left").select("kind", "set", F.coalesce("target", "set").alias("root"), F.lit(True).alias("moved")))
+    for _ in range(40):  # each step leads to a set of more common words or a full form; every round halves the chains, until none is left
         after = roots.select("kind", F.col("set").alias("root"), F.col("root").alias("next"))
-        roots = roots.join(after, ["kind", "root"], "left").select("kind", "set", F.coalesce("next", "root").alias("root"))
+        roots = cut(roots.drop("moved").join(after, ["kind", "root"], "left").select("kind", "set", F.coalesce("next", "root").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
+        if roots.where("moved").isEmpty():
+            break
+    roots = roots.drop("moved")
 
     # persons: different middle initials are different persons; a missing one is no difference if there is only one
     full = forms.where("kind in ('p', 'o')").join(roots, ["kind", "set"])
@@ -297,8 +306,8 @@ def link_names(names: DataFrame) -> DataFrame:
 
         return pd.Series([fits(a, b, c) for a, b, c in zip(words, shorts, parts)], dtype=bool)
 
-    bodies = forms.where("kind = 'b' and size(words) > 0").select("name", "words", "shorts", F.col("words")[0].alias("word"))
-    orgs = bodies.join(org.select("entity", "parts", F.explode("parts").alias("word")), "word").where(stands("words", "shorts", "parts")).select("name", "entity", F.lit(0).alias("off"))
+    short_bodies = forms.where("kind = 'b' and size(words) > 0").select("name", "words", "shorts", F.col("words")[0].alias("word"))
+    orgs = short_bodies.join(org.select("entity", "parts", F.explode("parts").alias("word")), "word").where(stands("words", "shorts", "parts")).select("name", "entity", F.lit(0).alias("off"))
     letters = done.where("kind = 'o' and acronym <> ''").select("entity", "acronym").distinct()
     acronyms = forms.where("kind = 'a'").select("name", "acronym").join(letters, "acronym").select("name", "entity", F.lit(0).alias("off"))
     # a name without the middle initial that tells two persons apart goes where its works go, else it is a third person

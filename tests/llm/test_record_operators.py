@@ -51,6 +51,20 @@ def test_variants_are_linked_and_others_are_not(spark):
     assert len(e) == len({n for n, _ in rows})
 
 
+def test_short_and_joined_words_meet(spark):
+    words = ["li", "lii", "il", "la", "mi", "wu", "wuu", "yu", "yua", "jean-paul", "jeanpaul", "von berg", "vonberg", "a", "ab", "b"]
+    got = {tuple(r) for r in name_link.near_words(spark.createDataFrame([(w,) for w in words], "word string")).collect()}
+    assert got == {(a, b) for a in words for b in words if a != b and distance(a, b) <= 1 and max(len(a), len(b)) > 1}
+
+
+def test_chains_of_spellings_and_two_word_organisations(spark):
+    chain = ["abcdefgh", "abcdefgi", "abcdefji", "abcdeoji", "abcdpoji", "abcqpoji", "abrqpoji"]
+    e = link(spark, [(f"Anna {w.title()}", f"w{k}") for k, w in enumerate(chain) for _ in range(1)] + [(f"Anna {w.title()}", f"x{k}{j}") for k, w in enumerate(chain) for j in range(k)])
+    assert len(set(e.values())) == 1
+    e = link(spark, [("University of Oxford", "a"), ("Oxford University", "b"), ("Mary Oxford", "a")])
+    assert e["University of Oxford"] == e["Oxford University"] != e["Mary Oxford"]
+
+
 def test_names_edge_cases(spark):
     e = link(spark, [(None, "a"), ("", "a"), ("  ", "a"), ("Mono", None), ("Mono", None), ("王小明", "a"), ("*", "b"), ("A. B.", "b")])
     assert set(e) == {"Mono", "王小明", "*", "A. B."}
