@@ -22,7 +22,7 @@ WORD = regex.compile(r"[\p{Han}&&[\u0000-
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Blocks of 64 bits in a filter.
-BLOCKS = 1 << 17
+BLOCKS = 1 << 19
 
 
 class Coded(NamedTuple):

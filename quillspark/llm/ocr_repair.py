@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from ..functions.arrow import map_rows
+from ..functions.arrow import SLICE, map_rows
 from ..session import cut, spread
 from .coded import WORD, bit_filter, code, numbers_of, pair_numbers, passes, plain, slices
 
@@ -359,11 +359,11 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return number, np.bincount(at, np.concatenate([c for _, c in parts])).astype(np.int64)
 
 
-_SCAN = "kind string, id bigint, title string, body string, word string, n bigint, n_page bigint"
+_SCAN = "kind string, id bigint, title string, body string, word string, number bigint, n bigint, n_page bigint"
 
 
 def scan(texts: DataFrame) -> DataFrame:
-    """One pass over all texts: rows of kind "page" (id, title, body in ordinary characters) and of kind "word" (word, n, n_page: occurrences in all texts and on pages; sums of one task).
+    """One pass over all texts: rows of kind "page" (id, title, body in ordinary characters) and of kind "word" (word, its number with an even last bit, n, n_page: occurrences in all texts and on pages; sums of one task).
 
     Compounds with their hyphen count as words, too. texts: id, title, body.
     """
@@ -379,12 +379,12 @@ def scan(texts: DataFrame) -> DataFrame:
 
         def words() -> pa.RecordBatch:
             number, n = _merged(parts)
-            out: dict[str, list[int]] = {}
+            out: dict[int, list[int]] = {}
             for x, c in zip(number.tolist(), n.tolist()):  # the lowest bit keeps pages apart
-                own = out.setdefault(names[x & ~1], [0, 0])
+                own = out.setdefault(x & ~1, [0, 0])
                 own[0] += c
                 own[1] += c if x & 1 else 0
-            return batch_of("word", len(out), word=list(out), n=[a for a, _ in out.values()], n_page=[b for _, b in out.values()])
+            return batch_of("word", len(out), word=[names[x] for x in out], number=list(out), n=[a for a, _ in out.values()], n_page=[b for _, b in out.values()])
 
         for batch in batches:
             bodies = batch.column("body").to_pylist()
@@ -504,6 +504,7 @@ def confusion_rates(candidates: DataFrame, lexicon: DataFrame, rounds: int = 2)
 SALTS = 16
 
 
+_WORK = "doc bigint, id bigint, n_lines int, furniture int, hyphenation int, lines string, suspects array<struct<w:string,n:bigint,cands:array<struct<c:string,p:double,n:bigint>>>>, pairs array<struct<a:string,b:string,g:bigint>>"
 _REPAIRED = "id bigint, n_lines int, furniture int, hyphenation int, misread int, repaired string"
 
 
@@ -519,7 +520,7 @@ def repair_pages(nodes: DataFrame, id_col: str = "id", body_col: str = "body", t
     # pages are read several times below, and their row numbers must not change
     scanned = cut(scan(texts).withColumn("doc", F.monotonically_increasing_id()))
     pages = scanned.where("kind = 'page'").select("doc", "id", "title", "body")
-    lexicon = cut(scanned.where("kind = 'word'").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_page").alias("n_page")))
+    lexicon = cut(scanned.where("kind = 'word'").groupBy("word").agg(F.first("number").alias("number"), F.sum("n").alias("n"), F.sum("n_page").alias("n_page")))
 
     def evidence(r: dict):
         out = [(r["doc"], "h", key, beside) for key, beside in header_evidence(r["body"])]
@@ -531,14 +532,20 @@ def repair_pages(nodes: DataFrame, id_col: str = "id", body_col: str = "body", t
     parts = found.where("kind = 'p'").select(F.col("key").alias("word")).distinct()
     known = parts.join(lexicon.select("word", "n"), "word")
 
-    # what may have been printed where a word was read
-    def candidates(r: dict):
-        return [(r["read"], r["n_read"], r["n_page"], c, list(rules)) for c, rules in expand(r["read"])]
+    # what may have been printed where a word was read: most of it is no word of the collection and goes before anything is shuffled
+    words = nodes.sparkSession.sparkContext.broadcast(bit_filter(lexicon, "number"))  # of fixed size
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(w, n, m, c, list(rules)) for w, n, m in zip(*(batch.column(k).to_pylist() for k in ("read", "n_read", "n_page"))) for c, rules in expand(w)]
+            keep = np.flatnonzero(passes(words.value, numbers_of(c for _, _, _, c, _ in rows) & ~1))
+            yield pa.RecordBatch.from_arrays([pa.array([rows[k][i] for k in keep], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32())))], names=["read", "n_read", "n_page", "word", "rules"])
 
     reads = lexicon.where("n_page > 0 and not contains(word, '-')").select(F.col("word").alias("read"), F.col("n").alias("n_read"), "n_page")
     divided = parts.where("not contains(word, '-')").join(lexicon, "word", "left_anti").select(F.col("word").alias("read"), F.lit(0).cast("bigint").alias("n_read"), F.lit(0).cast("bigint").alias("n_page"))
     every = cut(
-        map_rows(reads.unionByName(divided), candidates, "read string, n_read bigint, n_page bigint, word string, rules array<int>")
+        spread(reads.unionByName(divided))
+        .mapInArrow(candidates, "read string, n_read bigint, n_page bigint, word string, rules array<int>")
         .join(lexicon.select("word", "n"), "word")
         .groupBy("read")
         .agg(F.first("n_read").alias("n_read"), F.first("n_page").alias("n_page"), F.collect_list(F.struct("word", "rules", "n")).alias("cands"))  # at most the expansions of one word
@@ -576,8 +583,6 @@ def repair_pages(nodes: DataFrame, id_col: str = "id", body_col: str = "body", t
         .unionByName(headers.select(F.lit("h").alias("kind"), "key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), "n", none.alias("cands")))
     )
     lists = wanted.join(facts, ["kind", "key", "salt"]).groupBy("doc").agg(F.collect_set(F.struct("kind", "key", "n", "cands")).alias("facts"))
-    work = cut(pages.join(lists, "doc", "left"))
-
     def prepared(r: dict) -> tuple[list[str], int, int, Suspects]:
         have = r["facts"] or ()
         headers = {x["key"] for x in have if x["kind"] == "h"}
@@ -590,28 +595,35 @@ def repair_pages(nodes: DataFrame, id_col: str = "id", body_col: str = "body", t
         lines, hyphenation = join_lines(lines, known)
         return lines, furniture, hyphenation, suspects
 
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    types = to_arrow_schema(StructType.fromDDL(_WORK))
+
+    def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple[int, str, str]] = []
-            for r in batch.to_pylist():
-                lines, _, _, suspects = prepared(r)
-                split = [words_of(x) for x in lines]
-                out += [(r["doc"], a, b) for a, b in needed_bigrams(split, suspects, Counter(w for x in split for w in x))]
-            vocabulary = list({w for _, a, b in out for w in (a, b)})
-            place = {w: k for k, w in enumerate(vocabulary)}
-            number = numbers_of(vocabulary)
-            pair = np.array([(place[a], place[b]) for _, a, b in out], np.int64).reshape(-1, 2)
-            g = pair_numbers(number[pair.ravel()])[::2] if len(pair) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([d for d, _, _ in out], pa.int64()), pa.array([a for _, a, _ in out], pa.string()), pa.array([b for _, _, b in out], pa.string()), pa.array(g, pa.int64())], names=["doc", "a", "b", "g"])
-
-    needed = cut(work.where("exists(facts, x -> x.kind = 's')").mapInArrow(contexts, "doc bigint, a string, b string, g bigint"))
+            for k in range(0, batch.num_rows, SLICE):
+                out, pairs, needs = [], [], []
+                for r in batch.slice(k, SLICE).to_pylist():
+                    lines, furniture, hyphenation, suspects = prepared(r)
+                    split = [words_of(x) for x in lines] if suspects else []
+                    own = Counter(w for x in split for w in x)
+                    needs.append(sorted(needed_bigrams(split, suspects, own)) if suspects else [])
+                    pairs += needs[-1]
+                    found = [{"w": w, "n": x[0][2], "cands": [{"c": c, "p": p, "n": n} for c, p, n in x[1:]]} for w, x in suspects.items()]
+                    out.append((r["doc"], r["id"], r["body"].count("\n") + 1, furniture, hyphenation, "\n".join(lines), found or None))
+                place = {w: i for i, w in enumerate({w for p in pairs for w in p})}
+                number = numbers_of(place)
+                g = iter(pair_numbers(number[np.array([(place[a], place[b]) for a, b in pairs], np.int64).ravel()])[::2].tolist() if pairs else ())
+                rows = [(*x, [{"a": a, "b": b, "g": next(g)} for a, b in need] or None) for x, need in zip(out, needs)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), types)], schema=types)
+
+    work = cut(pages.join(lists, "doc", "left").select("doc", "id", "title", "body", "facts").mapInArrow(prepare, _WORK))
+    needed = work.where("pairs is not null").select("doc", F.explode("pairs").alias("x")).select("doc", "x.*")
     counted = count_pairs(texts, bit_filter(needed, "g")).where("n > 1")
     bigrams = needed.join(counted, "g").groupBy("doc").agg(F.collect_list(F.struct("a", "b", "n")).alias("bigrams"))
 
     def finish(r: dict):
-        lines, furniture, hyphenation, suspects = prepared(r)
-        misread = 0
-        if suspects:
+        lines, misread = r["lines"].split("\n"), 0
+        if r["suspects"]:
+            suspects: Suspects = {x["w"]: [(x["w"], 0.0, x["n"]), *((c["c"], c["p"], c["n"]) for c in x["cands"])] for x in r["suspects"]}
             split = [words_of(x) for x in lines]
             own = Counter(w for x in split for w in x)
             counts = {(x["a"], x["b"]): x["n"] for x in r["bigrams"] or ()}
@@ -628,13 +640,12 @@ def repair_pages(nodes: DataFrame, id_col: str = "id", body_col: str = "body", t
                         b, e = at[i]
                         text = text[:b] + _cased(text[b:e], best[i]) + text[e:]
                     lines[k] = text
-        return [(r["id"], r["body"].count("\n") + 1, furniture, hyphenation, misread, paragraphs(lines))]
+        return [(r["id"], r["n_lines"], r["furniture"], r["hyphenation"], misread, paragraphs(lines))]
 
-    fixed = map_rows(
-        work.join(bigrams, "doc", "left").select("id", "title", "body", "facts", "bigrams"),
-        finish,
-        _REPAIRED,
-    )
+    # pages with nothing to choose wait for no counts
+    own = ["id", "n_lines", "furniture", "hyphenation", "lines", "suspects"]
+    sure = map_rows(work.where("suspects is null").select(*own), finish, _REPAIRED)
+    fixed = sure.unionByName(map_rows(work.where("suspects is not null").join(bigrams, "doc", "left").select(*own, "bigrams"), finish, _REPAIRED))
     return fixed
 
 
