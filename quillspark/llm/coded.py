@@ -79,10 +79,19 @@ def plain(texts: list[str]) -> list[str]:
     return out
 
 
+def _numbers(points: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    power, inverse = _powers(1 << max(16, int(len(points) + 1).bit_length()))
+    with np.errstate(over="ignore"):
+        total = np.empty(len(points) + 1, np.uint64)
+        total[0] = 0
+        np.cumsum(_tables()[1][points] * power[: len(points)], out=total[1:])
+        return ((total[end] - total[begin]) * inverse[begin]).view(np.int64)
+
+
 def code(texts: list[str]) -> Coded:
     """All words of the texts, in lower case and order."""
     text = "\0".join(t.replace("\0", " ") if "\0" in t else t for t in texts).lower()
-    kind, random, _ = _tables()
+    kind = _tables()[0]
     points = _points(text)
     cls = kind[points]
     letter = cls == 1
@@ -95,13 +104,7 @@ def code(texts: list[str]) -> Coded:
         begin, end = np.concatenate([begin, han]), np.concatenate([end, han + 1])
         order = np.argsort(begin, kind="stable")
         begin, end = begin[order], end[order]
-    size = 1 << max(16, int(len(points) + 1).bit_length())
-    power, inverse = _powers(size)
-    with np.errstate(over="ignore"):
-        total = np.empty(len(points) + 1, np.uint64)
-        total[0] = 0
-        np.cumsum(random[points] * power[: len(points)], out=total[1:])
-        number = ((total[end] - total[begin]) * inverse[begin]).view(np.int64)
+    number = _numbers(points, begin, end)
     doc = np.searchsorted(np.flatnonzero(points == 0), begin)
     return Coded(text, number, doc, begin, end)
 
@@ -114,8 +117,10 @@ def pair_numbers(number: np.ndarray) -> np.ndarray:
 
 
 def numbers_of(words: Iterable[str]) -> np.ndarray:
-    """Numbers of words given one by one."""
-    return code(list(words)).number
+    """Numbers of words given one by one in lower case, one each, whatever they are made of."""
+    words = [w.replace("\0", " ") for w in words]
+    end = np.cumsum([len(w) + 1 for w in words], dtype=np.int64) - 1
+    return _numbers(_points("\0".join(words)), end - [len(w) for w in words] if words else end, end)
 
 
 def slices(lengths: list[int], most: int = 400_000) -> list[tuple[int, int]]:

@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.llm import ocr_repair, splitting, unify
+from quillspark.llm import coded, ocr_repair, splitting, unify
 
 NODES = "id bigint, paper_id bigint, node_id string, title string, body string, extra string"
 
@@ -168,3 +168,13 @@ def test_repair_keeps_every_row_once(spark):
     body = "The lexical base-\nline improves the index."
     df = nodes(spark, [body, body, body]).withColumn("title", F.expr("case id when 1 then null when 2 then '' else 'x' end")).withColumn("id", F.expr("least(id, 2)"))
     assert sorted(r.id for r in ocr_repair.repair_scans(df).collect()) == [1, 2, 2]
+
+
+def test_numbers_of_words():
+    """Words have the same number in every text, and each string given has one."""
+    text = ["The Façade 中文 of b2b, x-ray", "", "of THE"]
+    c = coded.code(text)
+    words = [c.text[i:j] for i, j in zip(c.begin, c.end)]
+    assert words == [m.group() for t in text for m in coded.WORD.finditer(t.lower())]
+    assert (coded.numbers_of(words) == c.number).all() and len(set(c.number.tolist())) == len(set(words))
+    assert len(coded.numbers_of(["abc中", "a b", "", "x"])) == 4 and len(coded.numbers_of([])) == 0
