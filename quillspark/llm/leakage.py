@@ -17,6 +17,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .coded import code, numbers_of, slices
 from .unify import ordinary
 
 PHRASE = {("passage", False): 5, ("passage", True): 8, ("question", False): 4, ("question", True): 6}  # tokens of a phrase by part and Chinese, whose characters are tokens
@@ -25,23 +26,27 @@ SHARE, QUESTION = 0.28, 0.8  # alignment score a token of a passage; share of a
 GAP = 3.0  # the price of an interruption, however long
 SAMPLE = 4
 SHARD = 500_000  # tokens
-_TOKEN = re.compile("[一-鿿]|[^\\W_一-鿿]+")
 _DIVIDED = re.compile("(?<=[^\\W\\d_])[-\u00ac\u2010\u00ad][ \\t]*\\n\\s*(?=[^\\W\\d_])")
 _ACCENT = re.compile("[\u0300-\u036f]+")
 #: Characters that are not their own ordinary form, or whose neighbours may not be.
 _UNUSUAL = re.compile("[^\\t-~\u00a1-\u00ac\u00ae-\u02ff\u2010-\u2027\u2030-\u205e\u2070-\u20cf\u3001-\u303f\u4e00-\u9fff\uff01\uff08\uff09\uff0c\uff1a\uff1b\uff1f]")
-_PLACED = regex.compile(r"[\p{Han}]|(?:[\p{L}\p{N}][\p{M}\p{Cf}]*(?:[-¬‐][ \t]*\n\s*(?=\p{L}))?)+", regex.V1)
+#: What stands between blanks, line-end divisions included; a Chinese character by itself.
+_PLACED = regex.compile(r"\p{Han}|(?:[^\s\p{Han}]|(?<=[\p{L}\p{M}\p{Cf}][-¬‐\u00ad])[ \t]*\n\s*(?=\p{L}))+", regex.V1)
+
+
+def folded(text: str) -> str:
+    """The text without case, accents, look-alikes and line-end division: its words are what stays the same in any outward form."""
+    if not text.isascii():
+        text = (ordinary(text) if _UNUSUAL.search(text) else text).casefold()
+        if not text.isascii():
+            text = _ACCENT.sub("", unicodedata.normalize("NFD", text))
+    return _DIVIDED.sub("", text) if "\n" in text else text
 
 
 def fold(text: str) -> list[str]:
-    """Tokens without case, accents, punctuation, look-alikes and line-end division: what stays the same in any outward form."""
-    if text.isascii():
-        t = text.lower()
-    else:
-        t = (ordinary(text) if _UNUSUAL.search(text) else text).casefold()
-        if not t.isascii():
-            t = _ACCENT.sub("", unicodedata.normalize("NFD", t))
-    return _TOKEN.findall(_DIVIDED.sub("", t) if "\n" in t else t)
+    """Words of the folded text."""
+    c = code([folded(text)])
+    return [c.text[i:j] for i, j in zip(c.begin.tolist(), c.end.tolist())]
 
 
 # --- FM-index ------------------------------------------------------------------------------------------------------
@@ -176,6 +181,10 @@ class Phrases:
             self.sizes.append(size)
             for k in range(len(ids) - size + 1):
                 rows.setdefault(size, []).append((tuple(ids[k : k + size]), number, k))
+        # words by their numbers, sorted
+        number = numbers_of(self.ids)
+        order = np.argsort(number, kind="stable")
+        self.numbers, self.places = number[order], np.array(list(self.ids.values()), np.int64)[order]
         self.groups = []
         for size, found in rows.items():
             index: dict[tuple[int, ...], int] = {}
@@ -186,6 +195,14 @@ class Phrases:
             self.groups.append((size, np.array(list(index), np.int64).reshape(len(index), size), begin, place))
 
 
+    def coded(self, number: np.ndarray) -> np.ndarray:
+        """Word ids by the words' numbers; 0 for what no item has."""
+        if not len(self.numbers):
+            return np.zeros(len(number), np.int64)
+        at = np.minimum(np.searchsorted(self.numbers, number), len(self.numbers) - 1)
+        return np.where(self.numbers[at] == number, self.places[at], 0)
+
+
 def _spread(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(which range, value) of all values of the ranges [begin, end)."""
     n = end - begin
@@ -287,13 +304,25 @@ def _leaks(docs: list[np.ndarray], phrases: Phrases) -> list[tuple[int, int, flo
     pair[1:] = (runs[1:, 0] != runs[:-1, 0]) | (runs[1:, 1] != runs[:-1, 1])
     first = np.flatnonzero(pair)
     last = np.append(first[1:], len(runs))
-    total = np.add.reduceat(runs[:, 4], first)
+    # tokens of the part that stand in any run, all pairs at once: ends are carried forward within a pair
+    number = np.repeat(np.arange(len(first)), last - first)
+    order = np.lexsort((runs[:, 3], number))
+    j, n, far = runs[order, 3], runs[order, 4], int((runs[:, 3] + runs[:, 4]).max()) + 1
+    reach = np.maximum.accumulate(number * far + j + n)
+    before = np.maximum(np.concatenate([[0], reach[:-1]]) - number * far, j)
+    total = np.bincount(number, np.maximum(j + n - before, 0))
     lengths = np.array([len(p[2]) for p in phrases.parts])
     share = np.array([LIKELY if p[1] == "passage" else 0.3 for p in phrases.parts])
     out = []
+    there: tuple[int, set[int]] = (-1, set())
     for k in np.flatnonzero(total >= share[runs[first, 1]] * lengths[runs[first, 1]]):
         d, p = int(runs[first[k], 0]), int(runs[first[k], 1])
-        out += [(d, p, *x) for x in _places([tuple(map(int, r)) for r in runs[first[k] : last[k], 2:5]], phrases, p, docs[d])]
+        if phrases.must[p]:  # a question stands where all its own words do
+            if there[0] != d:
+                there = d, set(docs[d].tolist())
+            if not all(phrases.parts[p][2][x] in there[1] for x in phrases.must[p]):
+                continue
+        out += [(d, p, *x) for x in _places([tuple(r) for r in runs[first[k] : last[k], 2:5].tolist()], phrases, p, docs[d])]
     return out
 
 
@@ -427,12 +456,30 @@ def _aligned(a: list[int], b: list[int]) -> set[int]:
     return out
 
 
-def _characters(text: str, n_tokens: int, begin: int, end: int) -> tuple[int, int]:
-    """Code points of the tokens [begin, end) in the stored text; the whole text if its outward form hides the tokens."""
-    spans = [m.span() for m in _PLACED.finditer(text)]
-    if len(spans) != n_tokens or begin >= end:
-        return 0, len(text)
-    return spans[begin][0], spans[min(end, n_tokens) - 1][1]
+def _word_places(text: str) -> list[tuple[int, int]]:
+    """Code points of every folded word in the stored text; where folding joins or divides what stands between blanks, the words have that stretch in common."""
+    out = []
+    for m in _PLACED.finditer(text):
+        piece = folded(m.group())
+        if len(piece) == 1:
+            out += [m.span()] * len(code([piece]).number)
+            continue
+        c = code([piece])
+        if len(piece) == m.end() - m.start():  # a character for a character
+            out += [(m.start() + i, m.start() + j) for i, j in zip(c.begin.tolist(), c.end.tolist())]
+        else:
+            out += [m.span()] * len(c.number)
+    return out
+
+
+def _characters(places: list[tuple[int, int]], n_tokens: int, length: int, begin: int, end: int) -> tuple[int, int]:
+    """Code points of the tokens [begin, end). Should the words of the pieces not be those of the whole, places are in proportion, a tenth of the text wider on both sides."""
+    if begin >= end:
+        return 0, length
+    if len(places) != n_tokens:
+        wide = length // 10
+        return max(0, begin * length // n_tokens - wide), min(length, end * length // n_tokens + wide)
+    return places[begin][0], max(e for _, e in places[begin : min(end, n_tokens)])
 
 
 SCHEMA = "doc_id bigint, item_id bigint, part string, share double, begin_pos int, end_pos int"
@@ -446,39 +493,55 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     for each stored row; other columns are ignored; an empty table on either side gives none. Documents are searched
     whole, wherever they lie: nothing is shuffled.
     """
-    rows = [(r.item_id, r.question, r.passage) for r in items.where("item_id is not null").select("item_id", "question", "passage").toLocalIterator()]
-    blocks = [Phrases(rows[k : k + block]) for k in range(0, len(rows), block)]
-    shared = docs.sparkSession.sparkContext.broadcast(blocks)  # held-out items only: block by block of fixed size
+    wanted = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and length(text) > 0")
+    held: list[tuple[int, str | None, str | None]] = []
+    out = None
+    for r in items.where("item_id is not null").select("item_id", "question", "passage").toLocalIterator():
+        held.append((r.item_id, r.question, r.passage))
+        if len(held) == block:
+            out, held = _search(wanted, Phrases(held), out), []
+    return _search(wanted, Phrases(held), out) if held or out is None else out
+
+
+def _search(docs: DataFrame, phrases: Phrases, others: DataFrame | None) -> DataFrame:
+    """Rows of SCHEMA for one block of items, added to those of other blocks; a task holds one block at a time."""
+    shared = docs.sparkSession.sparkContext.broadcast(phrases)
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple[int, str, list[str]]] = []
+        phrases = shared.value
+        held: list[tuple[int, str]] = []
+        coded: list[np.ndarray] = []
         size = 0
 
         def flush() -> pd.DataFrame:
-            out = []
-            for phrases in shared.value:
-                get = phrases.ids.get
-                coded = [np.array([get(w, 0) for w in words], np.int64) for _, _, words in held]
-                for d, p, share, begin, end in _leaks(coded, phrases):
-                    doc, text, words = held[d]
-                    b, e = _characters(text, len(words), begin, end)
-                    out.append((doc, phrases.parts[p][0], phrases.parts[p][1], share, b, e))
+            out, places = [], {}
+            for d, p, share, begin, end in _leaks(coded, phrases):
+                doc, text = held[d]
+                if d not in places:
+                    places[d] = _word_places(text)
+                b, e = _characters(places[d], len(coded[d]), len(text), begin, end)
+                out.append((doc, phrases.parts[p][0], phrases.parts[p][1], share, b, e))
             return pd.DataFrame(out, columns=["doc_id", "item_id", "part", "share", "begin_pos", "end_pos"]).astype({"doc_id": "int64", "item_id": "int64", "share": "float64", "begin_pos": "int32", "end_pos": "int32"})
 
         for pdf in batches:
-            for doc, text in zip(pdf["doc_id"], pdf["text"]):
-                words = fold(text)
-                if words:
-                    held.append((doc, text, words))
-                    size += len(words)
+            ids, texts = pdf["doc_id"].tolist(), pdf["text"].tolist()
+            for a, z in slices(list(map(len, texts))):
+                c = code([folded(t) for t in texts[a:z]])
+                words = phrases.coded(c.number)
+                bound = np.searchsorted(c.doc, np.arange(z - a + 1))
+                for k in range(z - a):
+                    if bound[k + 1] > bound[k]:
+                        held.append((ids[a + k], texts[a + k]))
+                        coded.append(words[bound[k] : bound[k + 1]])
+                size += len(words)
                 if size >= SHARD:
                     yield flush()
-                    held, size = [], 0
+                    held, coded, size = [], [], 0
         if held:
             yield flush()
 
-    found = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and length(text) > 0").mapInPandas(search, SCHEMA)
-    return found
+    found = docs.mapInPandas(search, SCHEMA)
+    return found if others is None else others.unionByName(found)
 
 
 def removal_spans(leaks: DataFrame) -> DataFrame:

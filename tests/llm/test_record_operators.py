@@ -298,3 +298,21 @@ def test_borders_search_every_edge():
     level = 1.0 + (score > score[700]) + (score > score[1501]) + (score > score[2302])
     (a, b, c) = reading.borders(score, level, np.array(["en"] * 3000))["en"]
     assert (1.0 + (score > a) + (score > b) + (score > c) == level).all()
+
+
+def test_places_of_words_in_outward_forms():
+    """Every folded word has its place in the stored text, whatever its outward form."""
+    for text in ("Plain words, here (twice).", "Ｗide  le­tters and é​ accents", "divi-\n  ded and near-\nfield words", "中文，ＡＢＣ和 latin混合　字", "a b​c ﬁne ½ x²"):
+        places = leakage._word_places(text)
+        words = leakage.fold(text)
+        assert len(places) == len(words)
+        assert all(0 <= b < e <= len(text) for b, e in places) and places == sorted(places)
+        for w, (b, e) in zip(words, places):
+            assert w in leakage.fold(text[b:e])
+
+
+def test_blocks_of_items_agree_with_one(spark):
+    docs = spark.createDataFrame([(k, f"Intro {k}. The quick brown fox number {k} jumps over the lazy dog beside river bank {k * 7} at dawn every day of the long year.") for k in range(12)], "doc_id bigint, text string")
+    items = docs.selectExpr("doc_id as item_id", "cast(null as string) as question", "text as passage")
+    one = {tuple(r) for r in leakage.find_leaks(docs, items).collect()}
+    assert one == {tuple(r) for r in leakage.find_leaks(docs, items, block=5).collect()} and {(r[0], r[1]) for r in one} >= {(k, k) for k in range(12)}
