@@ -1,6 +1,6 @@
 """Queries by theme; importing the package registers them."""
 
-from . import further, library, more, ranking, scalars, streams  # noqa: F401
+from . import fields, further, library, more, ranking, scalars, streams  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
