@@ -47,7 +47,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return kind, np.random.default_rng(20260901).integers(0, 1 << 64, 0x10000, dtype=np.uint64), odd
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse up to n."""
     out = []
@@ -123,7 +123,7 @@ def numbers_of(words: Iterable[str]) -> np.ndarray:
     return _numbers(_points("\0".join(words)), end - [len(w) for w in words] if words else end, end)
 
 
-def slices(lengths: list[int], most: int = 400_000) -> list[tuple[int, int]]:
+def slices(lengths: list[int], most: int = 200_000) -> list[tuple[int, int]]:
     """Ranges of texts of about `most` characters together; a longer text stands alone."""
     out, begin, size = [], 0, 0
     for k, n in enumerate(lengths):

@@ -537,9 +537,11 @@ def repair_pages(nodes: DataFrame, id_col: str = "id", body_col: str = "body", t
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(w, n, m, c, list(rules)) for w, n, m in zip(*(batch.column(k).to_pylist() for k in ("read", "n_read", "n_page"))) for c, rules in expand(w)]
-            keep = np.flatnonzero(passes(words.value, numbers_of(c for _, _, _, c, _ in rows) & ~1))
-            yield pa.RecordBatch.from_arrays([pa.array([rows[k][i] for k in keep], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32())))], names=["read", "n_read", "n_page", "word", "rules"])
+            for k in range(0, batch.num_rows, SLICE):
+                part = batch.slice(k, SLICE)
+                rows = [(w, n, m, c, list(rules)) for w, n, m in zip(*(part.column(k).to_pylist() for k in ("read", "n_read", "n_page"))) for c, rules in expand(w)]
+                keep = np.flatnonzero(passes(words.value, numbers_of(c for _, _, _, c, _ in rows) & ~1)).tolist()
+                yield pa.RecordBatch.from_arrays([pa.array([rows[k][i] for k in keep], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32())))], names=["read", "n_read", "n_page", "word", "rules"])
 
     reads = lexicon.where("n_page > 0 and not contains(word, '-')").select(F.col("word").alias("read"), F.col("n").alias("n_read"), "n_page")
     divided = parts.where("not contains(word, '-')").join(lexicon, "word", "left_anti").select(F.col("word").alias("read"), F.lit(0).cast("bigint").alias("n_read"), F.lit(0).cast("bigint").alias("n_page"))
