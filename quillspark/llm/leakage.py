@@ -458,17 +458,15 @@ def _aligned(a: list[int], b: list[int]) -> set[int]:
 
 def _word_places(text: str) -> list[tuple[int, int]]:
     """Code points of every folded word in the stored text; where folding joins or divides what stands between blanks, the words have that stretch in common."""
+    spans = [m.span() for m in _PLACED.finditer(text)]
+    pieces = [folded(text[i:j]) for i, j in spans]
+    c = code(pieces)
+    starts = np.cumsum([0] + [len(p) + 1 for p in pieces])
     out = []
-    for m in _PLACED.finditer(text):
-        piece = folded(m.group())
-        if len(piece) == 1:
-            out += [m.span()] * len(code([piece]).number)
-            continue
-        c = code([piece])
-        if len(piece) == m.end() - m.start():  # a character for a character
-            out += [(m.start() + i, m.start() + j) for i, j in zip(c.begin.tolist(), c.end.tolist())]
-        else:
-            out += [m.span()] * len(c.number)
+    for k, i, j in zip(c.doc.tolist(), c.begin.tolist(), c.end.tolist()):
+        b, e = spans[k]
+        # a character for a character, or the whole stretch
+        out.append((b + i - int(starts[k]), b + j - int(starts[k])) if len(pieces[k]) == e - b else (b, e))
     return out
 
 
