@@ -546,7 +546,8 @@ def repair_pages(nodes: DataFrame, id_col: str = "id", body_col: str = "body", t
     reads = lexicon.where("n_page > 0 and not contains(word, '-')").select(F.col("word").alias("read"), F.col("n").alias("n_read"), "n_page")
     divided = parts.where("not contains(word, '-')").join(lexicon, "word", "left_anti").select(F.col("word").alias("read"), F.lit(0).cast("bigint").alias("n_read"), F.lit(0).cast("bigint").alias("n_page"))
     every = cut(
-        spread(reads.unionByName(divided))
+        reads.unionByName(divided)
+        .repartition(nodes.sparkSession.sparkContext.defaultParallelism, "read")
         .mapInArrow(candidates, "read string, n_read bigint, n_page bigint, word string, rules array<int>")
         .join(lexicon.select("word", "n"), "word")
         .groupBy("read")
