@@ -25,7 +25,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores, where its files are fewer than those; a table of any size has more files and stays as it is."""
+    """df, a scan without shuffles, over all cores, where its files are fewer than those; a table of any size has more files and stays as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores / 2 else df
 
