@@ -79,12 +79,25 @@ def plain(texts: list[str]) -> list[str]:
     return out
 
 
-def _numbers(points: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+def sums(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Characters, running sums of their random numbers times powers of the base (one more than characters), the powers and those of the inverse: a word's number is the difference of two sums times an inverse power."""
+    points = _points(text)
     power, inverse = _powers(1 << max(16, int(len(points) + 1).bit_length()))
+    total = np.empty(len(points) + 1, np.uint64)
+    total[0] = 0
     with np.errstate(over="ignore"):
-        total = np.empty(len(points) + 1, np.uint64)
-        total[0] = 0
         np.cumsum(_tables()[1][points] * power[: len(points)], out=total[1:])
+    return points, total, power, inverse
+
+
+def weight_of(word: str) -> int:
+    """Number of a word as it stands at the beginning."""
+    return sum(int(_tables()[1][min(ord(c), 0xFFFF)]) * pow(_BASE, k, 1 << 64) for k, c in enumerate(word)) % (1 << 64)
+
+
+def _numbers(text: str, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    _, total, _, inverse = sums(text)
+    with np.errstate(over="ignore"):
         return ((total[end] - total[begin]) * inverse[begin]).view(np.int64)
 
 
@@ -104,7 +117,7 @@ def code(texts: list[str]) -> Coded:
         begin, end = np.concatenate([begin, han]), np.concatenate([end, han + 1])
         order = np.argsort(begin, kind="stable")
         begin, end = begin[order], end[order]
-    number = _numbers(points, begin, end)
+    number = _numbers(text, begin, end)
     doc = np.searchsorted(np.flatnonzero(points == 0), begin)
     return Coded(text, number, doc, begin, end)
 
@@ -120,7 +133,7 @@ def numbers_of(words: Iterable[str]) -> np.ndarray:
     """Numbers of words given one by one in lower case, one each, whatever they are made of."""
     words = [w.replace("\0", " ") for w in words]
     end = np.cumsum([len(w) + 1 for w in words], dtype=np.int64) - 1
-    return _numbers(_points("\0".join(words)), end - [len(w) for w in words] if words else end, end)
+    return _numbers("\0".join(words), end - [len(w) for w in words] if words else end, end)
 
 
 def slices(lengths: list[int], most: int = 200_000) -> list[tuple[int, int]]:

@@ -22,7 +22,7 @@ from pyspark.sql.types import StructType
 
 from ..functions.arrow import SLICE, map_rows
 from ..session import cut, spread
-from .coded import WORD, bit_filter, code, numbers_of, pair_numbers, passes, plain, slices
+from .coded import WORD, bit_filter, code, numbers_of, pair_numbers, passes, plain, slices, sums, weight_of
 
 #: Fixed values: (what is read, what was printed, probability of that confusion where it can happen, before any text was seen).
 CONFUSIONS = [
@@ -39,9 +39,6 @@ HAN = 0.02
 RULES = [(a, b, p) for a, b, p in CONFUSIONS] + [(a, b, HAN) for a, b in HAN_CONFUSIONS.items()]
 START = [p for _, _, p in RULES]
 
-_BY_FIRST: dict[str, list[tuple[str, str, int]]] = {}
-for _k, (_a, _b, _) in enumerate(CONFUSIONS):
-    _BY_FIRST.setdefault(_a[0], []).append((_a, _b, _k))
 _HAN_RULE = {a: len(CONFUSIONS) + k for k, a in enumerate(HAN_CONFUSIONS)}
 #: Both ways of reading digits as letters, with the confusion that each stands for.
 _DIGITS = [({c: next((b, k) for k, (a, b, _) in enumerate(CONFUSIONS) if a == c and b in "osbglizt" and (c != "1" or b == one)) for c in "0589126"}) for one in "li"]
@@ -212,30 +209,52 @@ def possible_divisions(body: str) -> set[tuple[str, str]]:
     return out
 
 
-def expand(word: str) -> list[tuple[str, tuple[int, ...]]]:
-    """Words that may have been printed where `word` was read, with the confusions by their places in RULES: one of letters, any number of digits."""
-    if len(word) == 1:
-        return [(HAN_CONFUSIONS[word], (_HAN_RULE[word],))] if word in HAN_CONFUSIONS else []
-    if not any(c.isalpha() for c in word):
-        return []
-    out: dict[str, tuple[int, ...]] = {}
-
-    def add(w: str, rules: tuple[int, ...]) -> None:
-        if w != word and (w not in out or math.prod(START[r] for r in rules) > math.prod(START[r] for r in out[w])):
-            out[w] = rules
-
-    # digits inside a word are read wrongly for certain: all are put right together, then one more confusion may be undone
-    bases: list[tuple[str, tuple[int, ...]]] = [(word, ())]
-    for table in _DIGITS:
-        if any(c in table for c in word):
-            bases.append(("".join(table[c][0] if c in table else c for c in word), tuple(table[c][1] for c in word if c in table)))
-            add(*bases[-1])
-    for base, sure in bases:
-        for i in range(len(base)):
-            for a, b, rule in _BY_FIRST.get(base[i], ()):
-                if base.startswith(a, i):
-                    add(base[:i] + b + base[i + len(a) :], (*sure, rule))
-    return list(out.items())
+def printed_forms(words: list[str], bits: np.ndarray) -> list[tuple[int, str, tuple[int, ...]]]:
+    """(place in the list, what may have been printed there, the confusions by their places in RULES): one confusion of letters, any number of digits.
+
+    Only what the bit filter of known words lets through is ever written out: the number of a changed word follows from
+    sums over the word, whatever its length.
+    """
+    out: dict[tuple[int, str], tuple[int, ...]] = {}
+
+    def add(k: int, w: str, rules: tuple[int, ...]) -> None:
+        if w != words[k] and ((k, w) not in out or math.prod(START[r] for r in rules) > math.prod(START[r] for r in out[k, w])):
+            out[k, w] = rules
+
+    bases: list[tuple[int, str, tuple[int, ...]]] = []
+    for k, w in enumerate(words):
+        if w in _HAN_RULE:
+            add(k, HAN_CONFUSIONS[w], (_HAN_RULE[w],))
+        elif len(w) > 1 and not w.isdigit() and any(c.isalpha() for c in w):
+            bases.append((k, w, ()))
+            if any(c in _DIGITS[0] for c in w):  # digits inside a word are read wrongly for certain: all are put right together, then one more confusion may be undone
+                for table in _DIGITS:
+                    bases.append((k, "".join(table[c][0] if c in table else c for c in w), tuple(table[c][1] for c in w if c in table)))
+                    add(*bases[-1])
+    text = "\0".join(w for _, w, _ in bases)
+    if not text:
+        return [(k, w, r) for (k, w), r in out.items()]
+    points, total, power, inverse = sums(text)
+    end = np.cumsum([len(w) + 1 for _, w, _ in bases]) - 1
+    begin = end - [len(w) for _, w, _ in bases]
+    with np.errstate(over="ignore"):
+        for rule, (a, b, _) in enumerate(CONFUSIONS):
+            hit = points == ord(a[0])
+            if len(a) == 2:
+                hit[:-1] &= points[1:] == ord(a[1])
+                hit[-1] = False
+            at = np.flatnonzero(hit)
+            if not len(at):
+                continue
+            base = np.searchsorted(end, at)
+            s, e = begin[base], end[base]
+            shift = power[len(b) - len(a)] if len(b) >= len(a) else inverse[len(a) - len(b)]
+            number = ((total[at] - total[s]) + np.uint64(weight_of(b)) * power[at] + (total[e] - total[at + len(a)]) * shift) * inverse[s]
+            for x in np.flatnonzero(passes(bits, number.view(np.int64) & ~1)).tolist():
+                k, w, sure = bases[base[x]]
+                i = int(at[x] - s[x])
+                add(k, w[:i] + b + w[i + len(a) :], (*sure, rule))
+    return [(k, w, r) for (k, w), r in out.items()]
 
 
 def words_of(text: str) -> list[str]:
@@ -537,11 +556,9 @@ def repair_pages(nodes: DataFrame, id_col: str = "id", body_col: str = "body", t
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, SLICE):
-                part = batch.slice(k, SLICE)
-                rows = [(w, n, m, c, list(rules)) for w, n, m in zip(*(part.column(k).to_pylist() for k in ("read", "n_read", "n_page"))) for c, rules in expand(w)]
-                keep = np.flatnonzero(passes(words.value, numbers_of(c for _, _, _, c, _ in rows) & ~1)).tolist()
-                yield pa.RecordBatch.from_arrays([pa.array([rows[k][i] for k in keep], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32())))], names=["read", "n_read", "n_page", "word", "rules"])
+            read, n_read, n_page = (batch.column(k).to_pylist() for k in ("read", "n_read", "n_page"))
+            rows = [(read[k], n_read[k], n_page[k], c, list(rules)) for k, c, rules in printed_forms(read, words.value)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32())))], names=["read", "n_read", "n_page", "word", "rules"])
 
     reads = lexicon.where("n_page > 0 and not contains(word, '-')").select(F.col("word").alias("read"), F.col("n").alias("n_read"), "n_page")
     divided = parts.where("not contains(word, '-')").join(lexicon, "word", "left_anti").select(F.col("word").alias("read"), F.lit(0).cast("bigint").alias("n_read"), F.lit(0).cast("bigint").alias("n_page"))

@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -178,3 +179,30 @@ def test_numbers_of_words():
     assert words == [m.group() for t in text for m in coded.WORD.finditer(t.lower())]
     assert (coded.numbers_of(words) == c.number).all() and len(set(c.number.tolist())) == len(set(words))
     assert len(coded.numbers_of(["abc中", "a b", "", "x"])) == 4 and len(coded.numbers_of([])) == 0
+
+
+def brute_forms(word):
+    """Every form by writing it out."""
+    if len(word) == 1:
+        return {ocr_repair.HAN_CONFUSIONS[word]} if word in ocr_repair.HAN_CONFUSIONS else set()
+    if word.isdigit() or not any(c.isalpha() for c in word):
+        return set()
+    bases = [word] + [word.translate(str.maketrans("0589126", f"osbg{one}zb")) for one in "li" if set(word) & set("0589126")]
+    out = set(bases)
+    for w in bases:
+        for a, b, _ in ocr_repair.CONFUSIONS:
+            out |= {w[:i] + b + w[i + len(a) :] for i in range(len(w)) if w.startswith(a, i)}
+    return out - {word}
+
+
+def test_printed_forms_against_brute_force():
+    words = ["rnodule", "c1ear", "5tate", "tbe", "rn", "旳", "12345", "x", "naïvc", "m" * 50, "abc中l"]
+    every = np.full(coded.BLOCKS, 2**64 - 1, np.uint64)
+    got = ocr_repair.printed_forms(words, every)
+    assert {(k, w) for k, w, _ in got} == {(k, w) for k, x in enumerate(words) for w in brute_forms(x)}
+    known = ["module", "clear", "state", "the", "in"]
+    bits = np.zeros(coded.BLOCKS, np.uint64)
+    for n in (coded.numbers_of(known) & ~1).view(np.uint64).tolist():
+        bits[n >> (64 - coded.BLOCKS.bit_length() + 1)] |= np.uint64(1) << np.uint64(n & 63)
+    some = {(k, w) for k, w, r in ocr_repair.printed_forms(words, bits) if len(r) == 1}
+    assert {(0, "module"), (1, "clear"), (2, "state")} <= some and len(ocr_repair.printed_forms(["m" * 5000 + "c"], bits)) == 0
