@@ -68,3 +68,67 @@ def co_counts(e: DataFrame, via: str, end: str, least: int = 2) -> DataFrame:
     a = e.select(F.col(via).alias("via"), F.col(end).alias("key_a"))
     b = e.select(F.col(via).alias("via"), F.col(end).alias("key_b"))
     return a.join(b, "via").where("key_a < key_b").groupBy("key_a", "key_b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+
+
+def touching(e: DataFrame, keys: DataFrame) -> DataFrame:
+    """Distinct edges with at least one end among the keys (norm_key)."""
+    k = keys.select("norm_key").distinct()
+    left = e.join(k.withColumnRenamed("norm_key", "src_key"), "src_key", "left_semi").select("src_key", "dst_key")
+    return left.unionByName(e.join(k.withColumnRenamed("norm_key", "dst_key"), "dst_key", "left_semi").select("src_key", "dst_key")).distinct()
+
+
+def metadata(keys: DataFrame, papers: DataFrame, nodes: DataFrame) -> DataFrame:
+    """norm_key, title, year, citations, in_library of each key: from the library's first import, else from the newest cached node, else nothing but the key."""
+    k = keys.select("norm_key").distinct()
+    own = papers.where("norm_key is not null").groupBy("norm_key").agg(F.min_by(F.struct("title", "year", "citation_count"), "id").alias("p"))
+    newest = F.struct("updated_at", "title", "year", "citation_count")
+    other = nodes.where("norm_key is not null").groupBy("norm_key").agg(F.max_by(F.struct("title", "year", "citation_count"), newest).alias("n"))
+    both = k.join(own, "norm_key", "left").join(other, "norm_key", "left")
+    pick = lambda c: F.when(F.col("p").isNotNull(), F.col(f"p.{c}")).otherwise(F.col(f"n.{c}"))
+    return both.select("norm_key", pick("title").alias("title"), pick("year").alias("year"), F.coalesce(pick("citation_count"), F.lit(0)).alias("citations"), F.col("p").isNotNull().alias("in_library"))
+
+
+def bounded_neighbours(e: DataFrame, seed: str, papers: DataFrame, nodes: DataFrame, depth: int = 1, limit: int = 50) -> tuple[DataFrame, DataFrame, bool]:
+    """(norm_key, hop, title, year, citations, in_library), edges between them, truncated: at most `limit` nodes around one seed.
+
+    Every hop keeps the library's works first, then the most cited, then by key, as far as there is room; it is told
+    whether any were left out. Only the frontier is joined; no more than `limit` keys ever leave a hop.
+    """
+    spark = e.sparkSession
+    seen = spark.createDataFrame([(seed, 0)], "norm_key string, hop int")
+    count, truncated = 1, False
+    for hop in range(1, depth + 1):
+        frontier = seen.where(F.col("hop") == hop - 1)
+        t = touching(e, frontier)
+        fresh = t.select(F.explode(F.array("src_key", "dst_key")).alias("norm_key")).distinct().join(F.broadcast(seen), "norm_key", "left_anti")  # at most `limit` keys seen
+        room = limit - count
+        rows = metadata(fresh, papers, nodes).orderBy(F.desc("in_library"), F.desc("citations"), F.asc("norm_key")).limit(room + 1).select("norm_key").collect()  # one more than there is room
+        truncated |= len(rows) > room
+        rows = rows[: max(room, 0)]
+        if not rows:
+            break
+        count += len(rows)
+        seen = seen.unionByName(spark.createDataFrame([(r.norm_key, hop) for r in rows], "norm_key string, hop int"))
+    keys = F.broadcast(seen.select("norm_key"))  # at most `limit` rows
+    inner = e.join(keys.withColumnRenamed("norm_key", "src_key"), "src_key", "left_semi").join(keys.withColumnRenamed("norm_key", "dst_key"), "dst_key", "left_semi").select("src_key", "dst_key").distinct()
+    return seen.join(metadata(seen, papers, nodes), "norm_key"), inner, truncated
+
+
+def gaps_with_titles(e: DataFrame, papers: DataFrame, nodes: DataFrame, k: int = 20, titles: int = 5) -> DataFrame:
+    """norm_key, cited_by, title, citing, rank: the k works outside the library that most of it cites, with the first titles that do, by paper id."""
+    best = gaps(e, papers).orderBy(F.desc("cited_by"), F.asc("norm_key")).limit(k)
+    own = papers.where("norm_key is not null").groupBy(F.col("norm_key").alias("src_key")).agg(F.min(F.struct("id", "title")).alias("p"))
+    cites = e.join(F.broadcast(best.select(F.col("norm_key").alias("dst_key"))), "dst_key").join(own, "src_key")  # k rows
+    from .lexical import top, top_per
+
+    first = top_per(cites.select("dst_key", "p.id", "p.title"), ["dst_key"], titles, F.asc("id")).groupBy(F.col("dst_key").alias("norm_key")).agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "title"))), lambda x: x["title"]).alias("citing"))  # `titles` a key
+    named = best.join(metadata(best, papers, nodes).select("norm_key", "title"), "norm_key").join(first, "norm_key", "left")
+    return top(named, k, F.desc("cited_by"), F.asc("norm_key"))
+
+
+def source_id(s2: str = "s2_id", doi: str = "doi", arxiv: str = "arxiv_id") -> "F.Column":
+    """How an outside service is asked for a work: its own id, else DOI, else arXiv id."""
+    from ..functions.text import bare_doi
+
+    some = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
+    return F.coalesce(some(s2), F.concat(F.lit("DOI:"), bare_doi(doi)), F.concat(F.lit("ARXIV:"), some(arxiv)))
