@@ -27,6 +27,7 @@ BLOCKS = 1 << 19
 
 class Coded(NamedTuple):
     text: str
+    points: np.ndarray  # its characters, 0xFFFF for those beyond the basic plane
     number: np.ndarray  # of each word
     doc: np.ndarray  # place of its text in the list
     begin: np.ndarray
@@ -119,7 +120,7 @@ def code(texts: list[str]) -> Coded:
         begin, end = begin[order], end[order]
     number = _numbers(text, begin, end)
     doc = np.searchsorted(np.flatnonzero(points == 0), begin)
-    return Coded(text, number, doc, begin, end)
+    return Coded(text, points, number, doc, begin, end)
 
 
 def pair_numbers(number: np.ndarray) -> np.ndarray:

@@ -416,12 +416,13 @@ def scan(texts: DataFrame) -> DataFrame:
                     yield batch_of("page", len(at), id=rows.column("id"), title=rows.column("title"), body=[texts[k] for k in at])
                 c = code(texts)
                 bound = np.flatnonzero((c.begin[1:] == c.end[:-1] + 1) & (c.doc[1:] == c.doc[:-1]))
-                bound = bound[[c.text[k] == "-" for k in c.end[bound].tolist()]] if len(bound) else bound
+                bound = bound[c.points[c.end[bound]] == ord("-")]
                 number = np.concatenate([c.number, pair_numbers(c.number)[bound]]) & ~1
                 doc, begin, end = (np.concatenate([x, x[y]]) for x, y in ((c.doc, bound), (c.begin, bound), (c.end, bound + 1)))
                 uniq, n = np.unique(number | page[doc], return_counts=True)
                 parts.append((uniq, n))
-                fresh = np.setdiff1d(uniq & ~1, known)
+                even = uniq & ~1
+                fresh = even[known[np.minimum(np.searchsorted(known, even), len(known) - 1)] != even] if len(known) else even
                 if len(fresh):
                     for k in np.flatnonzero(np.isin(number, fresh)).tolist():
                         if (x := int(number[k])) not in names:
