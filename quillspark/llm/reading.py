@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut
 
-FEATURES = 1 << 17  # size of the vector that an iteration sends around, whatever the collection
+FEATURES = 1 << 20  # size of the vector that an iteration sends around, whatever the collection: eight megabytes
+TOLERANCE = 0.02  # the iterations end when no feature moves by more of a level
 LABELS = 20_000  # at most so many graded documents set the borders between levels
 _SENTENCE = re.compile("(?<=[.!?])\\s+|(?<=[。！？])|\\n+")
 _HAN = re.compile("[一-鿿]")
@@ -138,7 +139,7 @@ def borders(score: np.ndarray, level: np.ndarray, group: np.ndarray) -> dict[str
     return out
 
 
-def reading_levels(docs: DataFrame, labels: DataFrame, steps: int = 6, least: int = 300) -> DataFrame:
+def reading_levels(docs: DataFrame, labels: DataFrame, most_steps: int = 50, least: int = 300) -> DataFrame:
     """doc_id, score (continuous), level (1 to 4) of every text of `least` or more code points; shorter, empty and null texts get no row.
 
     labels: doc_id, level; several for a document are averaged, null ones and those of unknown documents ignored. A
@@ -153,8 +154,10 @@ def reading_levels(docs: DataFrame, labels: DataFrame, steps: int = 6, least: in
     if mean is None:
         return edges.select("doc_id", F.lit(2.0).alias("score"), F.lit(2).alias("level"))
     values = None
-    for _ in range(steps):
-        values = _vector(edges, values, mean)
+    for _ in range(most_steps):
+        before, values = values, _vector(edges, values, mean)
+        if before is not None and np.abs(values - before).max() < TOLERANCE:
+            break
     shared = edges.sparkSession.sparkContext.broadcast(values)
     schema = pa.schema([("doc_id", pa.int64()), ("grp", pa.string()), ("lvl", pa.float64()), ("score", pa.float64())])
 
