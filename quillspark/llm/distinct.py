@@ -20,7 +20,6 @@ from ..session import cut
 _TOKEN = re.compile("[\u4e00-\u9fff]+|[^\\W_\u4e00-\u9fff]+")
 _ASCII = re.compile("[a-z0-9]{2,}")
 _DIVIDED = re.compile(r"(?<=\w)[-\u00ac\u00ad][^\S\n]*\n\s*(?=[a-z\u00df-\u00ff])")
-SALTS = 8
 GROUP = 48  # records whose edges are counted together
 #: At most so many terms can each make up one in so many of all postings.
 HOT = 4096
@@ -83,7 +82,7 @@ def record_graphs(terms: DataFrame, nodes: DataFrame, window: int = 4) -> DataFr
         .groupBy("paper_id", "node_id")  # a record is bounded by its own text; lists are merged before the shuffle
         .agg(F.collect_list("term").alias("stored"), F.collect_list(F.coalesce(F.col("tf").cast("int"), F.lit(0))).alias("tfs"))
     )
-    texts = nodes.where("paper_id is not null and node_id is not null").select("paper_id", "node_id", F.concat_ws("\n\n", "title", "body").alias("text")).where("length(text) > 0")
+    texts = nodes.where("paper_id is not null and node_id is not null").select(F.col("id") if "id" in nodes.columns else F.lit(0).alias("id"), "paper_id", "node_id", F.concat_ws("\n\n", "title", "body").alias("text")).where("length(text) > 0")
 
     def graphs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -104,8 +103,8 @@ def record_graphs(terms: DataFrame, nodes: DataFrame, window: int = 4) -> DataFr
                     out.append((p, n, stored, [get(k) or max(0, f) * (window - 1) for k, f in zip(keys, tfs)]))
             yield pd.DataFrame(out, columns=["paper_id", "node_id", "terms", "degrees"])
 
-    # copies of a node give a record more than once with the same postings: the first text is kept
-    joined = stored.join(texts.dropDuplicates(["paper_id", "node_id"]), ["paper_id", "node_id"], "left")
+    # copies of a node give a record more than once with the same postings: the first text in code-point order of its id and itself is kept
+    joined = stored.join(texts.groupBy("paper_id", "node_id").agg(F.min_by("text", F.struct("id", F.md5("text"))).alias("text")), ["paper_id", "node_id"], "left")
     return cut(joined.mapInPandas(graphs, _RECORD))
 
 
@@ -116,15 +115,15 @@ def _counts(records: DataFrame) -> DataFrame:
 def term_weights(records: DataFrame) -> DataFrame:
     """paper_id, node_id, term, degree, df, n_records, weight of every term of every record: degree x ln(n_records / df)."""
     n = records.count()
-    # a term may be in a third of all records: its postings are salted, the one row with its count is repeated
-    salted = _counts(records).withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    counts = _counts(records)
+    # a term may be in a third of all records: terms in more than one of HOT postings, a table of at most HOT rows, go to every task; the others are joined by their hash
+    total = records.agg(F.sum(F.size("terms"))).first()[0] or 0
+    hot = F.broadcast(counts.where(F.col("df") > max(2, total // HOT)).select("key", F.col("df").alias("hot")))  # at most HOT rows
     rows = records.select("paper_id", "node_id", F.explode(F.arrays_zip("terms", "degrees")).alias("x")).select("paper_id", "node_id", F.col("x.terms").alias("term"), F.col("x.degrees").alias("degree"))
-    return (
-        rows.withColumn("key", F.lower("term"))
-        .withColumn("salt", F.pmod(F.hash("paper_id", "node_id"), F.lit(SALTS)))
-        .join(salted, ["key", "salt"])
-        .select("paper_id", "node_id", "term", "degree", "df", F.lit(n).cast("bigint").alias("n_records"), (F.col("degree") * F.log(F.lit(float(n)) / F.col("df"))).alias("weight"))
-    )
+    placed = rows.withColumn("key", F.lower("term")).join(hot, "key", "left")
+    known = placed.where("hot is not null").select("paper_id", "node_id", "term", "degree", F.col("hot").alias("df"))
+    rest = placed.where("hot is null").drop("hot").join(counts, "key").select("paper_id", "node_id", "term", "degree", "df")
+    return known.unionByName(rest).select("paper_id", "node_id", "term", "degree", "df", F.lit(n).cast("bigint").alias("n_records"), (F.col("degree") * F.log(F.lit(float(n)) / F.col("df"))).alias("weight"))
 
 
 def most_characteristic(records: DataFrame) -> DataFrame:
