@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 SALTS = 32
+#: Long texts that one task numbers; there are as many tasks as it takes.
+LONG = 200_000
 
 
 def default_tokenizer() -> str:
@@ -123,7 +125,8 @@ def pack(sized: DataFrame, capacity: int, profile: str) -> DataFrame:
     # at most capacity * SALTS rows, whatever the number of texts
     counts = salted.groupBy("rest", "salt").agg(F.count(F.lit(1)).alias("n"))
     hist = {r.rest: r.n for r in counts.groupBy("rest").agg(F.sum("n").alias("n")).collect()}
-    n_full = sized.where(F.col("n_tokens") > capacity).agg(F.sum(F.floor(F.col("n_tokens") / capacity))).first()[0] or 0
+    over = sized.where(F.col("n_tokens") > capacity).agg(F.sum(F.floor(F.col("n_tokens") / capacity)).alias("full"), F.count(F.lit(1)).alias("texts")).first()
+    n_full, spread = over.full or 0, SALTS + (over.texts or 0) // LONG
     patterns = pack_histogram(hist, capacity)
     slots = _slots(patterns)
     n_packed = sum(c for c, _ in patterns)
@@ -152,9 +155,9 @@ def pack(sized: DataFrame, capacity: int, profile: str) -> DataFrame:
     empty = sized.where("n_tokens = 0").select(F.lit(1).cast("bigint").alias("container_id"), "doc_id", F.lit(1).alias("piece_no"), F.lit(0).cast("bigint").alias("begin_token"), F.lit(0).cast("bigint").alias("n_tokens"))
     out = placed.unionByName(empty)
     if n_full:  # full containers are numbered behind the packed ones
-        long = sized.where(F.col("n_tokens") > capacity).withColumn("k", F.floor(F.col("n_tokens") / capacity)).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+        long = sized.where(F.col("n_tokens") > capacity).withColumn("k", F.floor(F.col("n_tokens") / capacity)).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(spread)).cast("int"))
         sums = long.groupBy("salt").agg(F.sum("k").alias("n"))
-        starts = sums.withColumn("start", F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(1)).orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")  # SALTS rows
+        starts = sums.withColumn("start", F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(1)).orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")  # a row for each salt
         w = Window.partitionBy("salt").orderBy("doc_id", "n_tokens")
         first = long.withColumn("seq", F.row_number().over(w)).withColumn("own", F.coalesce(F.sum("k").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).join(F.broadcast(starts), "salt")
         out = out.unionByName(
