@@ -26,14 +26,15 @@ _HAN = regex.compile(r"(?<=[\p{Han}\p{Hiragana}\p{Katakana}])(?=\p{L})|(?<=\p{L}
 _GLUED = regex.compile(r"[\p{M}\u200D\uFE0F\uFE0E]")
 
 
-def strengths(text: str) -> np.ndarray:
-    """Strength of a cut before each position 0..len(text); a cut lies behind the white space that belongs to the boundary."""
+def strengths(text: str, overlap: int = 0) -> np.ndarray:
+    """Strength of a cut before each position 0..len(text); a cut lies behind the white space that belongs to the boundary. Neither a cut nor what begins the overlap before it stands between a letter and its mark while anything else is possible."""
     s = np.zeros(len(text) + 1, np.int8)
     for pattern, value in ((_HAN, CHARACTER), (_WORD, WORD), (_CLAUSE, CLAUSE), (_LINE, LINE), (_SENTENCE, SENTENCE), (_PARAGRAPH, PARAGRAPH)):
         at = np.fromiter((m.end() for m in pattern.finditer(text)), np.int64)
         s[at] = np.maximum(s[at], value)
     glued = np.fromiter((m.start() for m in _GLUED.finditer(text)), np.int64)
-    s[glued] = -1  # never between a letter and its mark while anything else is possible
+    s[glued] = -1
+    s[glued[glued + overlap < len(s)] + overlap] = -1
     s[0], s[len(text)] = NONE, PARAGRAPH
     return s
 
@@ -73,7 +74,7 @@ def pieces(text: str, capacity: int, overlap: int = 0) -> list[tuple[int, int, i
         return []
     if n <= capacity:
         return [(0, n, PARAGRAPH)]
-    index = RangeMax(strengths(text), capacity + 1)
+    index = RangeMax(strengths(text, overlap), capacity + 1)
     out, begin = [], 0
     while n - begin > capacity:
         high, low = begin + capacity, begin + max(overlap + 1, (capacity + 1) // 2)
