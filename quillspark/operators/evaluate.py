@@ -45,3 +45,29 @@ def sign_flip(pairs: DataFrame, before: str, after: str, rounds: int = 20_000, s
 
     tested = sizes.groupBy(F.lit(1).alias("one")).applyInPandas(test, "n_changed bigint, p_value double")
     return means.join(F.broadcast(tested), F.lit(True), "left").select("n", F.coalesce("n_changed", F.lit(0)).alias("n_changed"), "mean_before", "mean_after", F.coalesce("p_value", F.lit(1.0)).alias("p_value"))  # one row each
+
+
+def citation_measures(hits: DataFrame, gold: DataFrame) -> DataFrame:
+    """queries, precision, verified_rate: means over queries of the share of recommended ids (query_id, id, verified) that are gold (query_id, id), and of those with evidence that was found again."""
+    g = gold.select("query_id", "id").distinct().withColumn("_g", F.lit(1.0))
+    each = hits.join(g, ["query_id", "id"], "left").groupBy("query_id").agg(F.avg(F.coalesce("_g", F.lit(0.0))).alias("p"), F.avg(F.col("verified").cast("double")).alias("v"))
+    return each.agg(F.count(F.lit(1)).alias("queries"), F.avg("p").alias("precision"), F.avg("v").alias("verified_rate"))
+
+
+def described(result: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """A sentence about a paired test (n, n_changed, mean_before, mean_after, p_value): a direction is only claimed if it is significant."""
+    d = F.round(F.col("mean_after") - F.col("mean_before"), 4)
+    way = F.when(d > 0, "up").when(d < 0, "down").otherwise("equal")
+    told = F.when(F.col("n") == 0, "no data").when(F.col("n_changed") == 0, "nothing changed").when(F.col("p_value") < alpha, F.concat(F.lit("significantly "), way)).otherwise(F.concat(way, F.lit(", not significant")))
+    return result.select("n", "n_changed", d.alias("difference"), "p_value", told.alias("told"))
+
+
+def flips(pairs: DataFrame, before: str, after: str) -> DataFrame:
+    """The whole distribution behind the sign-flip test when all differences are one size: n_plus, n_minus, p_value of the exact binomial test, two-sided."""
+    d = pairs.select(F.signum(F.col(after) - F.col(before)).alias("s")).where("s <> 0")
+    n = d.agg(F.count_if(F.col("s") > 0).alias("plus"), F.count_if(F.col("s") < 0).alias("minus"))
+    # log of n! by its series: sums of logarithms over a sequence, no factorials
+    log_choose = lambda a, b: F.aggregate(F.sequence(F.lit(1), F.greatest(b, F.lit(1))), F.lit(0.0), lambda s, k: s + F.when(k <= b, F.log((a - b + k).cast("double")) - F.log(k.cast("double"))).otherwise(0.0))
+    total, least = (F.col("plus") + F.col("minus")).cast("int"), F.least("plus", "minus").cast("int")
+    tail = F.aggregate(F.sequence(F.lit(0), least), F.lit(0.0), lambda s, k: s + F.exp(log_choose(total, k) - total * F.log(F.lit(2.0))))
+    return n.select("plus", "minus", F.when(total == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail)).alias("p_value"))
