@@ -14,6 +14,14 @@ def recall_at(hits: DataFrame, gold: DataFrame, ks: tuple[int, ...]) -> DataFram
     return means.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"k{k}").alias("recall")) for k in ks])).alias("x")).select("x.*")
 
 
+def recall_by_size(queries: DataFrame, right: DataFrame, ks: tuple[int, ...]) -> DataFrame:
+    """k, recall: the same where gold is known by its size (query_id, gold) and the hits that are gold (query_id, rank): no gold pairs are ever listed."""
+    found = right.groupBy("query_id").agg(*[F.count_if(F.col("rank") <= k).alias(f"k{k}") for k in ks])
+    each = queries.join(found, "query_id", "left").select(*[(F.coalesce(f"k{k}", F.lit(0)) / F.col("gold")).alias(f"k{k}") for k in ks])
+    means = each.agg(*[F.avg(f"k{k}").alias(f"k{k}") for k in ks])
+    return means.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"k{k}").alias("recall")) for k in ks])).alias("x")).select("x.*")
+
+
 def confusion(pairs: DataFrame, gold: str, guess: str) -> DataFrame:
     return pairs.groupBy(F.col(gold).alias("gold"), F.col(guess).alias("guess")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -29,22 +37,30 @@ def class_scores(matrix: DataFrame) -> DataFrame:
 def sign_flip(pairs: DataFrame, before: str, after: str, rounds: int = 20_000, seed: int = 20260903) -> DataFrame:
     """n, n_changed, mean_before, mean_after, p_value of a paired two-sided sign-flip test.
 
-    Differences are grouped by size first, so what a round draws is a binomial for each distinct difference: the test
-    needs the table of differences, not the rows.
+    Differences are grouped by size first, so what a round draws is a binomial for each distinct difference. Tasks sum
+    their differences' shares of every round; the rounds are summed over the tasks.
     """
     d = pairs.select((F.col(after) - F.col(before)).cast("double").alias("d"))
     means = pairs.agg(F.count(F.lit(1)).alias("n"), F.avg(before).alias("mean_before"), F.avg(after).alias("mean_after"))
     sizes = d.where("d <> 0").groupBy(F.abs(F.round("d", 9)).alias("size")).agg(F.count(F.lit(1)).alias("m"), F.sum(F.when(F.col("d") > 0, 1).otherwise(-1)).alias("s"))
 
-    def test(pdf):
-        rng = np.random.default_rng(seed)
-        size, m, s = pdf["size"].to_numpy(), pdf["m"].to_numpy(np.int64), pdf["s"].to_numpy()
-        seen = abs(float((size * s).sum()))
-        drawn = ((2 * rng.binomial(m[None, :], 0.5, (rounds, len(m))) - m[None, :]) * size[None, :]).sum(1)
-        return pdf.iloc[:1].assign(p_value=(int((np.abs(drawn) >= seen - 1e-9).sum()) + 1) / (rounds + 1), n_changed=int(m.sum()))[["n_changed", "p_value"]]
-
-    tested = sizes.groupBy(F.lit(1).alias("one")).applyInPandas(test, "n_changed bigint, p_value double")
-    return means.join(F.broadcast(tested), F.lit(True), "left").select("n", F.coalesce("n_changed", F.lit(0)).alias("n_changed"), "mean_before", "mean_after", F.coalesce("p_value", F.lit(1.0)).alias("p_value"))  # one row each
+    def draw(batches):
+        # what a difference brings to each round depends on itself and the seed alone, wherever it is computed
+        total = np.zeros(rounds)
+        for pdf in batches:
+            for size, m in zip(pdf["size"].to_numpy(), pdf["m"].to_numpy(np.int64)):
+                rng = np.random.default_rng([seed, int(round(size * 1e9))])
+                total += (2 * rng.binomial(m, 0.5, rounds) - m) * size
+        if total.any():
+            import pandas as pd
+
+            yield pd.DataFrame({"round": np.arange(rounds), "x": total})
+
+    drawn = sizes.select("size", "m").mapInPandas(draw, "round bigint, x double").groupBy("round").agg(F.sum("x").alias("x"))
+    seen = sizes.agg(F.abs(F.coalesce(F.sum(F.col("size") * F.col("s")), F.lit(0.0))).alias("seen"), F.coalesce(F.sum("m"), F.lit(0)).alias("n_changed"))
+    extreme = drawn.crossJoin(F.broadcast(seen)).agg(F.count_if(F.abs("x") >= F.col("seen") - 1e-9).alias("e"))  # one row
+    p = F.when(F.col("n_changed") == 0, 1.0).otherwise((F.col("e") + 1) / F.lit(rounds + 1))
+    return means.crossJoin(F.broadcast(seen)).crossJoin(F.broadcast(extreme)).select("n", "n_changed", "mean_before", "mean_after", p.alias("p_value"))  # one row each
 
 
 def citation_measures(hits: DataFrame, gold: DataFrame) -> DataFrame:

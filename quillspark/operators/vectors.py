@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 
@@ -26,46 +27,68 @@ def nearest(vectors: DataFrame, query: list[float], k: int, where: Column | None
     return rows.select(F.col(id_col).alias("id"), dot(unit(v), q).alias("score")).orderBy(F.desc("score"), F.asc("id")).limit(k)
 
 
-def nearest_many(vectors: DataFrame, queries: DataFrame, k: int, block: int = 512, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+#: Vectors and queries that meet in one task.
+ROWS, QUERIES = 50_000, 2_000
+
+
+def nearest_many(vectors: DataFrame, queries: DataFrame, k: int, rows: int = ROWS, block: int = QUERIES, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, id, score, rank: the k nearest of every query, the query itself left out.
 
-    The stated queries go to the data in blocks of fixed size, so what is broadcast does not grow; every partition
-    keeps its best k of each query (one matrix product a batch), and the best k of those are merged.
+    Vectors lie in parts and queries in blocks, both of bounded size by the hash of their ids; each part meets each
+    block in one task (one matrix product), which keeps the best k of each query, and the best k of those are merged.
+    No vector passes the driver, and nothing is broadcast.
     """
-    out = None
-    rows = queries.select(F.col(id_col).alias("q"), F.col(vec_col).alias("v")).orderBy("q").toLocalIterator()
-    chunk: list = []
-
-    def search(chunk: list) -> DataFrame:
-        ids = np.array([r.q for r in chunk])
-        m = np.array([r.v for r in chunk], np.float64)
-        m /= np.linalg.norm(m, axis=1, keepdims=True) + 1e-9
-
-        def part(batches):
-            best_s, best_i = np.full((len(ids), 0), 0.0), np.full((len(ids), 0), 0, np.int64)
-            for pdf in batches:
-                v = np.array(pdf["v"].tolist(), np.float64)
-                v /= np.linalg.norm(v, axis=1, keepdims=True) + 1e-9
-                s = m @ v.T
-                own = pdf["id"].to_numpy()
-                s[ids[:, None] == own[None, :]] = -np.inf
-                s, i = np.concatenate([best_s, s], 1), np.concatenate([best_i, np.broadcast_to(own, s.shape)], 1)
-                order = np.lexsort((i, -s), axis=1)[:, :k]
-                best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-            import pandas as pd
-
-            keep = np.isfinite(best_s)
-            yield pd.DataFrame({"query_id": np.repeat(ids, best_s.shape[1])[keep.ravel()], "id": best_i[keep], "score": best_s[keep]})
-
-        return vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).mapInPandas(part, "query_id bigint, id bigint, score double")
-
-    for r in rows:
-        chunk.append(r)
-        if len(chunk) == block:
-            out = search(chunk) if out is None else out.unionByName(search(chunk))
-            chunk = []
-    if chunk or out is None:
-        out = search(chunk) if out is None else out.unionByName(search(chunk))
+    n, m = vectors.count(), queries.count()
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    parts, blocks = max(-(-n // rows), min(cores, n // 256 + 1)), max(1, -(-m // block))
+    of = lambda c, b: F.pmod(F.xxhash64(c), F.lit(b)).cast("int")
+    every = lambda b: F.explode(F.sequence(F.lit(0), F.lit(b - 1)))
+    v = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).withColumn("part", of("id", parts)).withColumn("block", every(blocks))
+    q = queries.select(F.col(id_col).alias("q"), F.col(vec_col).alias("v")).withColumn("block", of("q", blocks)).withColumn("part", every(parts))
+
+    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "score": np.zeros(0)})
+        a, b = np.array(right["v"].tolist(), np.float64), np.array(left["v"].tolist(), np.float64)
+        a /= np.linalg.norm(a, axis=1, keepdims=True) + 1e-9
+        b /= np.linalg.norm(b, axis=1, keepdims=True) + 1e-9
+        ids, own = right["q"].to_numpy(), left["id"].to_numpy()
+        s = a @ b.T
+        s[ids[:, None] == own[None, :]] = -np.inf
+        order = np.lexsort((np.broadcast_to(own, s.shape), -s), axis=1)[:, :k]
+        best = np.take_along_axis(s, order, 1)
+        keep = np.isfinite(best)
+        return pd.DataFrame({"query_id": np.repeat(ids, order.shape[1])[keep.ravel()], "id": own[order][keep], "score": best[keep]})
+
+    out = v.groupBy("part", "block").cogroup(q.groupBy("part", "block")).applyInPandas(search, "query_id bigint, id bigint, score double")
     from .lexical import top_per
 
     return top_per(out, ["query_id"], k, F.desc("score"), F.asc("id"))
+
+
+def best_of_group(vectors: DataFrame, query: list[float], group: str, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """group, id, score: the vector of each group nearest to the query, the smaller id among equals."""
+    norm = float(np.sqrt(np.sum(np.square(query)))) + 1e-9
+    score = F.round(dot(unit(F.col(vec_col)), F.array(*[F.lit(float(x) / norm) for x in query])), 9)
+    return vectors.groupBy(group).agg(F.max_by(id_col, F.struct(score, -F.col(id_col))).alias("id"), F.max(score).alias("score"))
+
+
+def same_space(old: DataFrame, new: DataFrame, key: str = "vec_id", vec_col: str = "embedding", least: float = 0.98) -> DataFrame:
+    """key, score, same: are the vectors of two models so near that the old ones can stay? Other dimensions are never."""
+    j = old.select(key, F.col(vec_col).alias("a")).join(new.select(key, F.col(vec_col).alias("b")), key)
+    score = F.when(F.size("a") == F.size("b"), dot(unit(F.col("a")), unit(F.col("b")))).otherwise(0.0)
+    return j.select(key, score.alias("score"), (score >= least).alias("same"))
+
+
+def unindexed(items: DataFrame, vectors: DataFrame, key: str, model: str | None = None) -> DataFrame:
+    """Items without a vector (of a model)."""
+    have = vectors if model is None else vectors.where(F.col("model") == model)
+    return items.join(have.select(key).distinct(), key, "left_anti")
+
+
+def coverage(items: DataFrame, vectors: DataFrame, key: str, group: str) -> DataFrame:
+    """group, items, indexed, ratio, whole: how much of each group has vectors."""
+    have = vectors.select(key).distinct().withColumn("_h", F.lit(1))
+    return items.select(group, key).join(have, key, "left").groupBy(group).agg(
+        F.count(F.lit(1)).alias("items"), F.count("_h").alias("indexed"), F.round(F.count("_h") / F.count(F.lit(1)), 4).alias("ratio"), (F.count("_h") == F.count(F.lit(1))).alias("whole")
+    )

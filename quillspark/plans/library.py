@@ -56,18 +56,11 @@ def linked_counts(x: Tables) -> DataFrame:
     return x.papers.select("id", "norm_key").join(nodes, "id", "left").join(docs, "norm_key", "left").select("id", F.coalesce("n_nodes", F.lit(0)).alias("n_nodes"), F.coalesce("n_docs", F.lit(0)).alias("n_docs"))
 
 
-@query(
-    f"WITH pages AS (SELECT id, paper_id, unnest(range(least(start_page, coalesce(end_page, start_page)), greatest(start_page, coalesce(end_page, start_page)) + 1)) AS page FROM section_nodes WHERE start_page IS NOT NULL) SELECT a.id AS id_a, b.id AS id_b, count(*) AS pages FROM pages a JOIN pages b ON a.paper_id = b.paper_id AND a.page = b.page AND a.id < b.id WHERE a.paper_id <> 1 GROUP BY ALL"
-)
-def shared_pages(x: Tables) -> DataFrame:
-    """Without paper 1, as its SQL says; shared_pages_all has every paper."""
-    return _shared_pages(x.section_nodes.where("paper_id <> 1"))
-
-
 @query(
     "WITH pages AS (SELECT id, paper_id, unnest(range(least(start_page, coalesce(end_page, start_page)), greatest(start_page, coalesce(end_page, start_page)) + 1)) AS page FROM section_nodes WHERE start_page IS NOT NULL) SELECT a.id AS id_a, b.id AS id_b, count(*) AS pages FROM pages a JOIN pages b ON a.paper_id = b.paper_id AND a.page = b.page AND a.id < b.id GROUP BY ALL"
 )
-def shared_pages_all(x: Tables) -> DataFrame:
+def shared_pages(x: Tables) -> DataFrame:
+    """Sections of a paper that share pages, every paper included."""
     return _shared_pages(x.section_nodes)
 
 

@@ -98,12 +98,21 @@ def label_cube(x: Tables) -> DataFrame:
     return x.reading_labels.cube("level", "rater").agg(F.count(F.lit(1)).alias("n"))
 
 
+ISLAND_BLOCK = 10_000  # ids that one task orders
+
+
 @query("SELECT paper_id, CAST(i AS BIGINT) AS island, min(level) AS level, count(*) AS n FROM (SELECT *, sum(CASE WHEN level IS DISTINCT FROM before THEN 1 ELSE 0 END) OVER (PARTITION BY paper_id ORDER BY id) AS i FROM (SELECT id, paper_id, level, lag(level) OVER (PARTITION BY paper_id ORDER BY id) AS before FROM section_nodes)) GROUP BY ALL")
 def level_islands(x: Tables) -> DataFrame:
-    w = Window.partitionBy("paper_id").orderBy("id")
-    s = x.section_nodes.select("id", "paper_id", "level", F.lag("level").over(w).alias("before"))
-    s = s.withColumn("island", F.sum(F.when(~F.col("level").eqNullSafe(F.col("before")), 1).otherwise(0)).over(w))
-    return s.groupBy("paper_id", "island").agg(F.min("level").alias("level"), F.count(F.lit(1)).alias("n"))
+    """Islands are counted within blocks of ids; blocks of a paper are few, and only their first and last levels meet in one window."""
+    w = Window.partitionBy("paper_id", "block").orderBy("id")
+    s = x.section_nodes.select("id", "paper_id", "level", F.floor(F.col("id") / ISLAND_BLOCK).alias("block"))
+    s = s.withColumn("before", F.lag("level").over(w)).withColumn("r", F.row_number().over(w))
+    s = s.withColumn("inside", F.sum(F.when((F.col("r") > 1) & ~F.col("level").eqNullSafe(F.col("before")), 1).otherwise(0)).over(w))
+    blocks = s.groupBy("paper_id", "block").agg(F.min_by("level", "id").alias("first"), F.max_by("level", "id").alias("last"), F.max("inside").alias("changes"))
+    v = Window.partitionBy("paper_id").orderBy("block")
+    blocks = blocks.withColumn("r", F.row_number().over(v)).withColumn("joins", F.when((F.col("r") == 1) | ~F.col("first").eqNullSafe(F.lag("last").over(v)), 1).otherwise(0))
+    blocks = blocks.withColumn("offset", F.sum(F.col("changes") + F.col("joins")).over(v) - F.col("changes")).select("paper_id", "block", "offset")
+    return s.join(blocks, ["paper_id", "block"]).groupBy("paper_id", (F.col("inside") + F.col("offset")).alias("island")).agg(F.min("level").alias("level"), F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT norm_key, min(digest_id) AS first_digest FROM digest_items WHERE norm_key IS NOT NULL GROUP BY norm_key")

@@ -131,9 +131,16 @@ def neighbours_of_queries(x: Tables) -> DataFrame:
     return vectors.nearest_many(v, v.where("vec_id % 20 = 0"), 5).select("query_id", "id", "rank")
 
 
-@query("SELECT label, vec_id AS id, rank FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY round(embedding[1], 6) DESC, vec_id) AS rank FROM embeddings) WHERE rank = 1")
+@query(
+    "WITH c AS (SELECT label, d, avg(v) AS v FROM (SELECT label, unnest(range(0, len(embedding))) AS d, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings) GROUP BY ALL), z AS (SELECT label, list(v ORDER BY d) AS centre FROM c GROUP BY label), "
+    f"s AS (SELECT e.label, vec_id, round({_cos('embedding', 'centre')}, 6) AS score FROM embeddings e JOIN z USING (label)) SELECT label, vec_id AS id, score FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank = 1"
+)
 def best_per_label(x: Tables) -> DataFrame:
-    return lexical.top_per(x.embeddings.select("label", F.col("vec_id").alias("id"), F.round(F.col("embedding")[0].cast("double"), 6).alias("s")), ["label"], 1, F.desc("s"), F.asc("id")).select("label", "id", "rank")
+    """The vector of each label that lies nearest to the label's centre."""
+    v = x.embeddings
+    centre = v.select("label", F.posexplode("embedding").alias("d", "v")).groupBy("label", "d").agg(F.avg(F.col("v").cast("double")).alias("v")).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "v"))), lambda r: r["v"]).alias("centre"))
+    scored = v.join(centre, "label").select("label", F.col("vec_id").alias("id"), F.round(vectors.dot(vectors.unit(F.col("embedding")), vectors.unit(F.col("centre"))), 6).alias("score"))
+    return lexical.top_per(scored, ["label"], 1, F.desc("score"), F.asc("id")).drop("rank")
 
 
 _SQ = "lower(regexp_replace(coalesce({0}, ''), '[ \\t\\r\\n\\f\\v]+', '', 'g'))"
@@ -171,11 +178,14 @@ def rater_agreement(x: Tables) -> DataFrame:
     "e AS (SELECT query_id, k, avg(CASE WHEN h.rank <= k THEN 1.0 ELSE 0.0 END) AS r FROM g LEFT JOIN h USING (query_id, id), unnest([1, 5, 10]) AS u(k) GROUP BY ALL) SELECT CAST(k AS INT) AS k, round(avg(r), 6) AS recall FROM e GROUP BY k"
 )
 def label_recall(x: Tables) -> DataFrame:
+    # gold is everything of the query's label but itself: only its size is needed beside the hits
     v = x.embeddings
     q = v.where("vec_id % 20 = 0")
-    gold = q.select(F.col("vec_id").alias("query_id"), "label").join(v.select(F.col("vec_id").alias("id"), "label"), "label").where("query_id <> id").select("query_id", "id")
     hits = vectors.nearest_many(v, q, 10)
-    return evaluate.recall_at(hits, gold, (1, 5, 10)).withColumn("recall", F.round("recall", 6))
+    sizes = v.groupBy("label").agg((F.count(F.lit(1)) - 1).alias("gold"))
+    asked = q.select(F.col("vec_id").alias("query_id"), "label").join(sizes, "label").where("gold > 0")
+    right = hits.join(asked, "query_id").join(v.select(F.col("vec_id").alias("id"), F.col("label").alias("own")), "id").where("label = own").select("query_id", "rank")
+    return evaluate.recall_by_size(asked.select("query_id", "gold"), right, (1, 5, 10)).withColumn("recall", F.round("recall", 6))
 
 
 @query()

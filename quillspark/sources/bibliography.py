@@ -14,8 +14,10 @@ from ..functions.arrow import map_rows
 
 SCHEMA = "source_id string, entry_no int, title string, abstract string, year int, venue string, authors array<string>, doi string, arxiv_id string, error string"
 _FIELDS = ("title", "abstract", "year", "venue", "authors", "doi", "arxiv_id", "error")
+#: Fields that may name the venue, in order of precedence.
+VENUES = ("journal", "journaltitle", "booktitle", "venue", "publisher", "school", "institution")
 #: LaTeX accents and letters.
-_ACCENTS = {"'": "\u0301", "`": "\u0300", "^": "\u0302", '"': "\u0308", "~": "\u0303", "c": "\u0327", "v": "\u030c", "=": "\u0304", ".": "\u0307", "u": "\u0306", "H": "\u030b", "r": "\u030a"}
+_ACCENTS = {"'": "\u0301", "`": "\u0300", "^": "\u0302", '"': "\u0308", "~": "\u0303", "c": "\u0327", "v": "\u030c", "=": "\u0304", ".": "\u0307", "u": "\u0306", "H": "\u030b", "r": "\u030a", "d": "\u0323", "b": "\u0331", "k": "\u0328"}
 _LETTERS = {"ss": "ß", "o": "ø", "O": "Ø", "l": "ł", "L": "Ł", "ae": "æ", "AE": "Æ", "aa": "å", "AA": "Å", "i": "ı"}
 
 
@@ -33,9 +35,11 @@ def sniff(text: str) -> str:
 
 def unlatex(s: str) -> str:
     """LaTeX accents, letters and escapes as Unicode; grouping braces go."""
-    s = re.sub(r"""\\(['`^"~=.]|[cvuHr](?=[\s{]))\s*\{?\\?(\w)\}?""", lambda m: unicodedata.normalize("NFC", m.group(2) + _ACCENTS[m.group(1)]), s)
+    s = re.sub(r"""\\(['`^"~=.]|[cvuHrdbk](?=[\s{]))\s*\{?\\?(\w)\}?""", lambda m: unicodedata.normalize("NFC", m.group(2) + _ACCENTS[m.group(1)]), s)
     s = re.sub(r"\\(ss|ae|AE|aa|AA|o|O|l|L|i)(?![A-Za-z])\s*", lambda m: _LETTERS[m.group(1)], s)
-    return re.sub(r"\s+", " ", re.sub(r"\\([&%$#_{}])", r"\1", s).replace("{", "").replace("}", "")).strip()
+    s = re.sub(r"\\(?:text(?:it|bf|sc|tt|rm|sf)?|emph|mathrm|url)\s*(?=\{)", "", s)
+    s = re.sub(r"(?<!\\)~", " ", s)
+    return re.sub(r"\s+", " ", re.sub(r"\\([&%$#_{}~])", r"\1", s).replace("{", "").replace("}", "")).strip()
 
 
 def _closing(text: str, start: int) -> int:
@@ -92,19 +96,26 @@ def _values(body: str, macros: dict[str, str]) -> dict[str, str]:
 
 
 def _author(name: str) -> str:
-    last, _, first = (p.strip() for p in name.partition(","))
-    return f"{first} {last}".strip() if first else last
+    """First name first: "Last, First", and "Last, Jr, First" with the suffix behind."""
+    parts = [p.strip() for p in name.split(",")]
+    if len(parts) == 1:
+        return parts[0]
+    last, suffix, first = (parts[0], "", parts[1]) if len(parts) == 2 else (parts[0], parts[1], " ".join(parts[2:]))
+    return " ".join(p for p in (first, last, suffix) if p)
 
 
 def _record(f: dict[str, str], authors: list[str]) -> dict:
     year = re.search(r"\d{4}", f.get("year") or f.get("date") or "")
-    doi = re.sub(r"(?i)^https?://(dx\.)?doi\.org/", "", (f.get("doi") or "").strip()) or None
-    arxiv = f.get("eprint") if "arxiv" in (f.get("archiveprefix") or "arxiv").lower() else None
+    doi = re.sub(r"(?i)^https?://(dx\.)?doi\.org/", "", re.sub(r"\s+", "", f.get("doi") or "")) or None
+    arxiv = re.sub(r"\s+", "", f.get("eprint") or "") or None
+    # an eprint without a prefix is an arXiv id only if it has the form of one
+    if arxiv and not ("arxiv" in f["archiveprefix"].lower() if f.get("archiveprefix") else re.fullmatch(r"(?:\d{4}\.\d{4,5}|[a-z-]+(?:\.[A-Z]{2})?/\d{7})(?:v\d+)?", arxiv)):
+        arxiv = None
     if not arxiv and (m := re.search(r"arxiv\.org/(?:abs|pdf)/([\w.-]+(?:/\d+)?)", f.get("url") or "", re.I)):
         arxiv = re.sub(r"(v\d+)?(\.pdf)?$", "", m.group(1))
     title = f.get("title") or None
     return {
-        "title": title, "abstract": f.get("abstract") or None, "year": int(year.group()) if year else None, "venue": f.get("journal") or f.get("booktitle") or f.get("venue") or None,
+        "title": title, "abstract": f.get("abstract") or None, "year": int(year.group()) if year else None, "venue": next((f[n] for n in VENUES if f.get(n)), None),
         "authors": [a for a in authors if a and a.lower() not in ("others", "et al", "et al.")], "doi": doi, "arxiv_id": arxiv or None, "error": None if title else "no title",
     }
 
@@ -112,6 +123,8 @@ def _record(f: dict[str, str], authors: list[str]) -> dict:
 def read_bibtex(text: str) -> list[dict]:
     """Records of all entries; one that is not closed is reported and reading goes on at the next @ at a line start."""
     out, macros = [], {m: m.capitalize() for m in ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")}
+    # a line behind a percent sign is a comment, whatever entries it holds
+    text = re.sub(r"(?m)^[ \t]*%.*$", "", text)
     k = 0
     while m := re.compile(r"@\s*(\w+)\s*([{(])").search(text, k):
         kind, end = m.group(1).lower(), _closing(text, m.end() - 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -45,28 +45,117 @@ def running_budget(events: DataFrame, budget: float) -> DataFrame:
     return events.select("user_id", "value").groupBy("user_id").applyInPandasWithState(step, "user_id long, spent double, remaining double", "spent double", "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def upsert_by_key(target: str, key: str):
-    """A foreachBatch function that keeps the last row of each key in a Parquet folder, one version for each batch.
+#: Buckets of an upsert target: a batch rewrites those its keys fall into.
+BUCKETS = 64
 
-    A batch writes <target>/v<batch id> whole from the newest complete older version, so a repeated batch gives the
-    same version again.
+
+def _versions(spark: SparkSession, target: str) -> dict[int, list[int]]:
+    """Complete versions of each bucket, oldest first."""
+    fs = spark._jvm.org.apache.hadoop.fs
+    root = fs.Path(target)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    out: dict[int, list[int]] = {}
+    if system.exists(root):
+        for v in system.listStatus(root):
+            name = v.getPath().getName()
+            if name.startswith("v") and system.exists(fs.Path(v.getPath(), "_SUCCESS")):
+                for b in system.listStatus(v.getPath()):
+                    if b.getPath().getName().startswith("bucket="):
+                        out.setdefault(int(b.getPath().getName()[7:]), []).append(int(name[1:]))
+    return {b: sorted(v) for b, v in out.items()}
+
+
+def current(spark: SparkSession, target: str, before: int | None = None, buckets: list[int] | None = None) -> DataFrame | None:
+    """The newest rows of an upsert target (older than a version, of some buckets); None if there are none."""
+    paths = []
+    for b, versions in _versions(spark, target).items():
+        fit = [v for v in versions if before is None or v < before]
+        if fit and (buckets is None or b in buckets):
+            paths.append(f"{target}/v{fit[-1]}/bucket={b}")
+    return spark.read.parquet(*paths) if paths else None
+
+
+def upsert_by_key(target: str, key: str, buckets: int = BUCKETS):
+    """A foreachBatch function that keeps the last row of each key in a Parquet folder, in buckets by the key's hash.
+
+    A batch rewrites only the buckets of its keys, as <target>/v<batch id>/bucket=<b>, from the newest complete older
+    version of each; a repeated batch gives the same version again, and an interrupted one is never read.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fs = spark._jvm.org.apache.hadoop.fs
-        conf = spark._jsc.hadoopConfiguration()
-        done = []
-        root = fs.Path(target)
-        system = root.getFileSystem(conf)
-        if system.exists(root):
-            done = sorted(int(s.getPath().getName()[1:]) for s in system.listStatus(root) if s.getPath().getName().startswith("v") and system.exists(fs.Path(s.getPath(), "_SUCCESS")))
-        before = [v for v in done if v < batch_id]
-        newest = batch.withColumn("_v", F.lit(batch_id))
-        if before:
-            newest = newest.unionByName(spark.read.parquet(f"{target}/v{before[-1]}").withColumn("_v", F.lit(before[-1])))
+        fresh = batch.withColumn("_v", F.lit(1))
+        touched = [r.b for r in batch.select(F.pmod(F.xxhash64(key), F.lit(buckets)).alias("b")).distinct().collect()]  # at most `buckets` rows
+        old = current(spark, target, batch_id, touched)
+        newest = fresh if old is None else fresh.unionByName(old.withColumn("_v", F.lit(0)))
         rest = [c for c in newest.columns if c not in (key, "_v")]
-        last = newest.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct("_v", *rest)).alias("r")).select(key, "r.*")
-        last.write.mode("overwrite").parquet(f"{target}/v{batch_id}")
+        last = newest.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct("_v", *rest)).alias("r")).select(key, "r.*") if rest else newest.select(key).distinct()
+        last.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets))).write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/v{batch_id}")
 
     return write
+
+
+def with_library(items: DataFrame, library: DataFrame, key: str = "norm_key") -> DataFrame:
+    """A stream of items with what the library (a table) knows of them: in_library and the id of the first import. The table is read anew for each micro-batch."""
+    first = library.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("id").alias("library_id"))
+    return items.join(first, key, "left").withColumn("in_library", F.col("library_id").isNotNull())
+
+
+def unrepeated(items: DataFrame, key: str = "norm_key", days: int = 30) -> DataFrame:
+    """The items of a stream (key, ts) that did not come through within the last `days`, and none that were dismissed: a dismissal (dismissed = 1) closes its key for good.
+
+    State is one row for each key; it is forgotten when the time is over, dismissed keys are kept.
+    """
+
+    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last, closed = state.get if state.exists else (None, False)
+        rows = []
+        for pdf in batches:
+            for ts, dismissed in zip(pdf["ts"], pdf["dismissed"]):
+                rows.append((ts, int(dismissed or 0)))
+        out = []
+        for ts, dismissed in sorted(rows):
+            at = ts.value // 1000
+            if not closed and not dismissed and (last is None or at - last > days * 86_400_000_000):
+                out.append((k[0], ts))
+                last = at
+            closed = closed or bool(dismissed)
+        state.update((last if last is not None else 0, closed))
+        if not closed and last is not None:
+            state.setTimeoutTimestamp(max(last // 1000 + days * 86_400_000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["norm_key", "ts"])
+
+    rows = items.select(F.col(key).cast("string").alias("norm_key"), F.col("ts").cast("timestamp").alias("ts"), F.coalesce(F.col("dismissed").cast("int"), F.lit(0)).alias("dismissed")).where("norm_key is not null and ts is not null")
+    return rows.withWatermark("ts", "1 day").groupBy("norm_key").applyInPandasWithState(step, "norm_key string, ts timestamp", "last bigint, closed boolean", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def fresh_cache(cache: DataFrame, now: Column, days: float, key: str = "query") -> DataFrame:
+    """The newest entry of each key (ts) that is at most `days` old at `now`."""
+    age = (F.unix_micros(now) - F.unix_micros(F.col("ts").cast("timestamp"))) / 86_400e6
+    rest = [c for c in cache.columns if c != key]
+    newest = cache.where(age.between(0, days)).groupBy(key).agg(F.max_by(F.struct(*rest), F.struct("ts", *[c for c in rest if c != "ts"])).alias("r"))
+    return newest.select(key, "r.*")
+
+
+def split_malformed(lines: DataFrame, schema: str, text: str = "value") -> tuple[DataFrame, DataFrame]:
+    """(parsed rows, rejects with their text) of JSON lines: a broken line goes to the side and loses no other."""
+    parsed = lines.select(text, F.from_json(text, f"{schema}, _broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}).alias("r"))
+    good = parsed.where("r is not null and r._broken is null").select("r.*").drop("_broken")
+    return good, parsed.where("r is null or r._broken is not null").select(F.col(text).alias("rejected"))
+
+
+def fingerprint(df: DataFrame, *columns: str) -> DataFrame:
+    """n, fingerprint: rows and an order-free hash of columns; equal tables have equal ones, so that an index is only rebuilt when its source changed."""
+    return df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(F.xxhash64(*columns)), F.lit(0)).alias("fingerprint"))
+
+
+def changes_only(progress: DataFrame, key: str, order: str, *watched: str) -> DataFrame:
+    """Rows at which any of the watched columns differs from the key's row before."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(key).orderBy(order)
+    now = F.struct(*watched)
+    return progress.withColumn("_b", F.lag(now).over(w)).where(~F.col("_b").eqNullSafe(now)).drop("_b")

@@ -172,10 +172,11 @@ def test_streams(spark, sf, tmp_path):
     target = str(tmp_path / "out")
     q = stream.select("user_id", "event_id").writeStream.foreachBatch(usage.upsert_by_key(target, "user_id")).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c2")).start()
     q.awaitTermination(90)
-    import os
-
-    last = max((d for d in os.listdir(target) if d.startswith("v")), key=lambda d: int(d[1:]))
-    assert spark.read.parquet(f"{target}/{last}").count() == events.select("user_id").distinct().count()
+    last = usage.current(spark, target)
+    assert last.count() == last.select("user_id").distinct().count() == events.select("user_id").distinct().count()
+    usage.upsert_by_key(target, "user_id")(spark.createDataFrame([(10**9, 1)], "user_id bigint, event_id bigint"), 10**6)
+    one = spark.read.parquet(f"{target}/v1000000")
+    assert 0 < one.count() < last.count() and usage.current(spark, target).count() == last.count() + 1
 
 
 def test_entry(spark):
@@ -228,6 +229,6 @@ def test_shared_pages_keep_the_hot_paper(spark, tmp_path):
     spark.createDataFrame(rows, "id bigint, paper_id bigint, start_page int, end_page int").write.parquet(str(tmp_path / "section_nodes.parquet"))
     on = {i: (p, set(range(min(a, b or a), max(a, b or a) + 1))) for i, p, a, b in rows if a and p}
     want = {(i, j, len(on[i][1] & on[j][1])) for i, j in combinations(sorted(on), 2) if on[i][0] == on[j][0] and on[i][1] & on[j][1]}
-    got = plans.QUERIES["shared_pages_all"](spark, str(tmp_path))
+    got = plans.QUERIES["shared_pages"](spark, str(tmp_path))
     assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
     assert any(on[i][0] == 1 for i, _, _ in want)
