@@ -125,7 +125,8 @@ def decode(raw: bytes) -> tuple[str, str]:
 
 
 def sniff(text: str) -> str:
-    head = text[:2000].lstrip()
+    """html by its first tag, markdown by a mark anywhere, else text."""
+    head = text.lstrip()
     if re.match(r"(?i)<!doctype html|<html|<(head|body|div|p|h[1-6])\b", head):
         return "html"
     return "markdown" if re.search(r"(?m)^#{1,6} |^```|^[-*] .+\n[-*] ", head) else "text"
