@@ -59,15 +59,22 @@ def gaps(e: DataFrame, papers: DataFrame) -> DataFrame:
     return outside.groupBy(F.col("dst_key").alias("norm_key")).agg(F.count(F.lit(1)).alias("cited_by"))
 
 
+#: Edges of a neighbour that one task pairs with all others of it.
+VIA_BLOCK = 256
+
+
 def co_counts(e: DataFrame, via: str, end: str, least: int = 2) -> DataFrame:
     """key_a, key_b, n: pairs that share at least `least` neighbours.
 
     A neighbour of d edges gives d(d-1)/2 pairs; that is the result's own size, and the pairs are counted before and
-    after the shuffle.
+    after the shuffle. The edges of a neighbour with very many are spread over blocks, each of which meets all of them,
+    so that no task has more than VIA_BLOCK times its edges.
     """
-    a = e.select(F.col(via).alias("via"), F.col(end).alias("key_a"))
-    b = e.select(F.col(via).alias("via"), F.col(end).alias("key_b"))
-    return a.join(b, "via").where("key_a < key_b").groupBy("key_a", "key_b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    pairs = e.select(F.col(via).alias("via"), F.col(end).alias("key"))
+    sized = pairs.join(pairs.groupBy("via").agg(F.ceil(F.count(F.lit(1)) / VIA_BLOCK).alias("blocks")), "via")
+    a = sized.select("via", F.col("key").alias("key_a"), F.pmod(F.xxhash64("key"), "blocks").alias("block"))
+    b = sized.select("via", F.col("key").alias("key_b"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"))
+    return a.join(b, ["via", "block"]).where("key_a < key_b").groupBy("key_a", "key_b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
 
 
 def touching(e: DataFrame, keys: DataFrame) -> DataFrame:

@@ -24,7 +24,8 @@ def _count(tokens: str, word: str) -> Column:
 def bm25(docs: DataFrame, query: str, weights: dict[str, float], k1: float = 1.5, b: float = 0.75, id_col: str = "id") -> DataFrame:
     """id, score of documents with a query term: BM25 of every field by its weight, times half plus the share of query terms present.
 
-    Only query terms are exploded; document lengths are taken from the token arrays in the same pass.
+    Terms are columns: one pass counts documents, lengths and document frequencies (one row), one scores; nothing is
+    exploded, grouped or shuffled.
     """
     spark = docs.sparkSession
     terms = spark.range(1).select(F.explode(F.array_distinct(t.rank_terms(F.lit(query)))).alias("term"))
@@ -32,21 +33,20 @@ def bm25(docs: DataFrame, query: str, weights: dict[str, float], k1: float = 1.5
     if not wanted:
         return docs.select(F.col(id_col).alias("id"), F.lit(0.0).alias("score")).where("false")
     fields = list(weights)
-    base = docs.select(F.col(id_col).alias("id"), *[t.rank_terms(f).alias(f) for f in fields])
-    lengths = base.agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.size(f)).alias(f"avg_{f}") for f in fields])
-    hits = base.select(
-        "id",
-        *[F.size(f).alias(f"len_{f}") for f in fields],
-        F.explode(F.array(*[F.struct(F.lit(w).alias("term"), *[_count(f, w).alias(f"tf_{f}") for f in fields]) for w in wanted])).alias("h"),
-    ).select("id", *[f"len_{f}" for f in fields], "h.*").where(" or ".join(f"tf_{f} > 0" for f in fields))
-    df = hits.groupBy("term").agg(*[F.sum(F.when(F.col(f"tf_{f}") > 0, 1).otherwise(0)).alias(f"df_{f}") for f in fields])
-    scored = hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(lengths))  # one row for each query term; one row
+    tokens = docs.select(F.col(id_col).alias("id"), *[t.rank_terms(f).alias(f) for f in fields])
+    pairs = [(f, i) for f in fields for i in range(len(wanted))]
+    base = tokens.select("id", *[F.size(f).alias(f"_l_{f}") for f in fields], *[_count(f, wanted[i]).alias(f"_t_{f}{i}") for f, i in pairs])
+    stats = base.agg(F.count(F.lit(1)).alias("_n"), *[F.avg(f"_l_{f}").alias(f"_a_{f}") for f in fields], *[F.count_if(F.col(f"_t_{f}{i}") > 0).alias(f"_d_{f}{i}") for f, i in pairs])
+    hits = base.where(" or ".join(f"`_t_{f}{i}` > 0" for f, i in pairs)).crossJoin(F.broadcast(stats))  # one row
     part = F.lit(0.0)
-    for f in fields:
-        tf, n = F.col(f"tf_{f}"), F.col("n")
-        idf = F.log(1 + (n - F.col(f"df_{f}") + 0.5) / (F.col(f"df_{f}") + 0.5))
-        part = part + F.when(tf > 0, weights[f] * idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col(f"len_{f}") / F.col(f"avg_{f}")))).otherwise(0.0)
-    return scored.withColumn("part", part).groupBy("id").agg((F.sum("part") * (0.5 + F.count(F.lit(1)) / len(wanted))).alias("score"))
+    for f, i in pairs:
+        tf, df = F.col(f"_t_{f}{i}"), F.col(f"_d_{f}{i}")
+        idf = F.log(1 + (F.col("_n") - df + 0.5) / (df + 0.5))
+        part = part + F.when(tf > 0, weights[f] * idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col(f"_l_{f}") / F.col(f"_a_{f}")))).otherwise(0.0)
+    present = F.lit(0)
+    for i in range(len(wanted)):
+        present = present + F.greatest(*[F.col(f"_t_{f}{i}") for f in fields], F.lit(0)).cast("boolean").cast("int")
+    return hits.select("id", (part * (0.5 + present / len(wanted))).alias("score"))
 
 
 def section_scope(terms: DataFrame, nodes: DataFrame, query: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import text as t
-from ..operators import citations, vectors
+from ..operators import citations, graph, vectors
 from .registry import Tables, query
 from .scalars import NAMES
 
@@ -53,8 +53,7 @@ def anchor_scores(x: Tables) -> DataFrame:
 @query("WITH a AS (SELECT DISTINCT norm_key, unnest(authors) AS author FROM papers WHERE norm_key IS NOT NULL) SELECT a.author AS author_a, b.author AS author_b, count(*) AS works FROM a JOIN a b ON a.norm_key = b.norm_key AND a.author < b.author GROUP BY ALL HAVING count(*) >= 2")
 def coauthors(x: Tables) -> DataFrame:
     a = x.papers.where("norm_key is not null").select("norm_key", F.explode("authors").alias("author_a")).distinct()
-    b = a.select("norm_key", F.col("author_a").alias("author_b"))
-    return a.join(b, "norm_key").where("author_a < author_b").groupBy("author_a", "author_b").agg(F.count(F.lit(1)).alias("works")).where("works >= 2")
+    return graph.co_counts(a, "norm_key", "author_a").select(F.col("key_a").alias("author_a"), F.col("key_b").alias("author_b"), F.col("n").alias("works"))
 
 
 @query("SELECT p.id, max(n.updated_at) AS known_since FROM papers p LEFT JOIN citation_nodes n ON n.norm_key = p.norm_key AND n.updated_at <= p.created_at GROUP BY p.id")
