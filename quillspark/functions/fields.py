@@ -209,5 +209,11 @@ def squashed(c: str | Column) -> Column:
 
 def pairs_of(c: str | Column) -> Column:
     """Distinct pairs of neighbouring characters without white space."""
-    s = squashed(c)
-    return F.when(F.length(s) < 2, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: F.substring(s, i, F.lit(2)))))
+    return F.array_distinct(neighbours(squashed(c)))
+
+
+def neighbours(c: Column) -> Column:
+    """All pairs of neighbouring characters, in one walk over the text."""
+    chars = all_matches(c, r"(?s).")
+    n = F.greatest(F.size(chars) - 1, F.lit(0))
+    return F.zip_with(F.slice(chars, F.lit(1), n), F.slice(chars, F.lit(2), n), lambda x, y: F.concat(x, y))

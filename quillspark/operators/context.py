@@ -67,7 +67,7 @@ def carried_over(pinned: DataFrame, ranked: DataFrame, k: int) -> DataFrame:
 
 def shares(paragraph: str, text: Column) -> Column:
     """Share of the paragraph's character pairs and words that a text has."""
-    grams = lambda c: F.array_distinct(F.concat(F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2))), lambda g: (F.length(g) == 2) & (F.trim(g) != "")), t.all_matches(c, r"[a-z][a-z0-9-]{2,}")))
+    grams = lambda c: F.array_distinct(F.concat(F.filter(f.neighbours(c), lambda g: F.trim(g) != ""), t.all_matches(c, r"[a-z][a-z0-9-]{2,}")))
     q = grams(t.norm_query(F.lit(paragraph)))
     return F.size(F.array_intersect(q, grams(F.lower(F.regexp_replace(text, t.SPACE, " "))))) / F.size(q)
 
