@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..session import cut
+from ..session import cut, spread
 from ..sources.tables import table
 from . import distinct, leakage, name_link, ocr_repair, packing, reading, splitting, unify
 
@@ -82,7 +82,7 @@ def p6_fill(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p7_leaks(spark: SparkSession, sf: str) -> DataFrame:
-    return leakage.find_leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+    return leakage.find_leaks(spread(table(spark, sf, "documents")), table(spark, sf, "eval_items"))
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
