@@ -2,6 +2,7 @@
 
 import random
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -165,6 +166,21 @@ def test_collation_decides_the_class(spark):
     assert out[6] == (None, False) and out[7] == ("", False)
 
 
+def test_missing_look_alikes_are_an_error():
+    """Where the confusables data cannot be had, or has not a shape for each letter, there is no result."""
+    builder = lambda skeleton: lambda: SimpleNamespace(build=lambda: SimpleNamespace(getSkeleton=skeleton))
+    session = lambda text: SimpleNamespace(_jvm=SimpleNamespace(com=SimpleNamespace(ibm=SimpleNamespace(icu=SimpleNamespace(text=text)))))
+
+    def fails(text):
+        raise OSError("connection lost")
+
+    for text in (SimpleNamespace(), *(SimpleNamespace(**{"SpoofChecker$Builder": builder(f)}) for f in (fails, lambda text: text[: len(text) // 2]))):
+        with pytest.raises(RuntimeError, match="no look-alikes"):
+            unify.twins(session(text))
+    with pytest.raises(RuntimeError, match="no look-alikes"):
+        unify.twins(SimpleNamespace())
+
+
 def test_repair_keeps_every_row_once(spark):
     body = "The lexical base-\nline improves the index."
     df = nodes(spark, [body, body, body]).withColumn("title", F.expr("case id when 1 then null when 2 then '' else 'x' end")).withColumn("id", F.expr("least(id, 2)"))
