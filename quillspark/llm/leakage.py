@@ -210,24 +210,29 @@ def _spread(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return which, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + begin[which]
 
 
-def chain(runs: list[tuple[int, int, int]], length: int, price: float | None = None) -> list[tuple[int, int, int]]:
-    """Best ordered chain of runs (place in document, place in item, tokens). A shift costs up to `price`, however long the interruption; without a price up to half a phrase, and gaps are at most as long as half the item."""
+def chain(runs: list[tuple[int, int, int]], length: int, price: float | None = None) -> tuple[list[tuple[int, int, int]], int]:
+    """Best ordered chain of runs (place in document, place in item, tokens). A shift costs up to `price`, however long the interruption; without a price up to half a phrase, and gaps are at most as long as half the item.
+
+    Beside it a number of tokens of the item that neither this chain nor the best one of any part of the runs exceeds: a run
+    follows another in some best chain only if what the other brings is more than the step costs, and fewer runs bring less.
+    """
     runs = sorted(runs)
     most, reach, longest = GAP if price is None else price, 2 * length + 60, max(40, length // 2)
     if runs[-1][0] - min(i + n for i, _, n in runs) <= max(40, length // 2):
         price = None  # nothing is far
     best: list[tuple[float, int, int]] = []
-    furthest = 0.0
+    covers: list[int] = []  # tokens that a best chain which ends with the run may cover
+    furthest, widest = 0.0, 0
     ended: list[tuple[int, int]] = []  # runs by where they end in the document
     tree = [(0.0, -1)] * (length + 2)  # best score of the ended runs by where they end in the item: a Fenwick tree of maxima
     for k, (i, j, n) in enumerate(runs):
-        score, prev = float(n), -1
+        score, prev, cover = float(n), -1, n
         for g in range(k - 1, -1, -1):
             a, b, m = runs[g]
             if a < i - reach:
                 break
-            have = best[g][0] + n
-            if have <= score or b >= j or a >= i or i - a - m > longest:
+            have = best[g][0]
+            if have + n <= score and covers[g] + n <= cover or b >= j or a >= i or i - a - m > longest:
                 continue
             over = a + m - i if a + m - i > b + m - j else b + m - j
             have -= abs(i - j - a + b) * 0.5 if abs(i - j - a + b) * 0.5 < most else most
@@ -235,15 +240,20 @@ def chain(runs: list[tuple[int, int, int]], length: int, price: float | None = N
                 if over >= n:
                     continue
                 have -= over
-            if have > score:
-                score, prev = have, g
+            if have <= 0:
+                continue
+            cover = max(cover, covers[g] + n - max(0, b + m - j))
+            if have + n > score:
+                score, prev = have + n, g
         if price is not None:
             while ended and ended[0][0] <= i:
                 g = heapq.heappop(ended)[1]
+                widest = max(widest, covers[g])
                 x = runs[g][1] + runs[g][2] + 1
                 while x < len(tree):
                     tree[x] = max(tree[x], (best[g][0], g))
                     x += x & -x
+            cover = max(cover, widest + n)
             if furthest - price + n > score:
                 x, far = j + 1, (0.0, -1)
                 while x:
@@ -255,11 +265,12 @@ def chain(runs: list[tuple[int, int, int]], length: int, price: float | None = N
                 heapq.heappush(ended, (i + n, k))
                 furthest = max(furthest, score)
         best.append((score, prev, k))
+        covers.append(cover)
     out, k = [], max(best)[2]
     while k >= 0:
         out.append(runs[k])
         k = best[k][1]
-    return out[::-1]
+    return out[::-1], max(covers)
 
 
 def _leaks(docs: list[np.ndarray], phrases: Phrases) -> list[tuple[int, int, float, int, int]]:
@@ -345,7 +356,9 @@ def _places(runs: list[tuple[int, int, int]], phrases: Phrases, p: int, doc: np.
     left = runs
     while _covered(left) >= least:
         # after an interruption a run must bring more than a phrase that any text may share; a question stands in one place
-        used = chain(left, len(ids), 2.0 * phrases.sizes[p] if part == "passage" else None)
+        used, most = chain(left, len(ids), 2.0 * phrases.sizes[p] if part == "passage" else None)
+        if most < least:
+            break  # nor will any chain of those left
         places = _checked(used, phrases, p, doc) if _covered(used) >= least else []
         taken = set(used)
         out += places

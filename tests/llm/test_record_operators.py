@@ -241,6 +241,35 @@ def test_interrupted_parts_and_hidden_questions_are_found(spark):
     assert sorted(docs[2][r.begin_pos : r.end_pos] for r in rows if r.doc_id == 2) == sorted([" ".join(words[:15]), " ".join(words[50:65])])
 
 
+def test_chains_end_when_no_run_is_left_that_counts(monkeypatch):
+    """Stock phrases all over a document that cannot make a place cost one chain, not one for each phrase."""
+    made, own = [], leakage.chain
+    monkeypatch.setattr(leakage, "chain", lambda *a: made.append(a) or own(*a))
+    item = [f"word{k}" for k in range(80)]
+    phrases = leakage.Phrases([(1, None, " ".join(item))])
+    stock = [" ".join([*(f"other{x}" for x in range(50)), *item[k : k + 6]]) for k in range(72, -1, -6)]
+    assert leakage._leaks([phrases.coded(leakage.code([" ".join(stock)]).number)], phrases) == [] and len(made) == 1
+
+
+def test_chains_of_fewer_runs_stay_under_the_bound():
+    """What any chain of any part of the runs covers, against the bound; taking chains until the runs are used up finds no more than stopping at it."""
+    rng = random.Random(4)
+    for trial in range(600):
+        length = rng.choice([30, 120, 300])
+        runs = {(i, j): (i, j, rng.randint(5, 14)) for i, j in ((rng.randint(0, rng.choice([40, 300, 3000])), rng.randint(0, length - 15)) for _ in range(rng.randint(1, 25)))}
+        runs, price = list(runs.values()), rng.choice([None, 10.0, 16.0])
+        used, most = leakage.chain(runs, length, price)
+        assert leakage._covered(used) <= most
+        left = [r for r in runs if r not in used]
+        while left:
+            chain, fewer = leakage.chain(left, length, price)
+            assert leakage._covered(chain) <= fewer <= most
+            left = [r for r in left if r not in chain]
+        for _ in range(5):
+            some = rng.sample(runs, rng.randint(1, len(runs)))
+            assert leakage._covered(leakage.chain(some, length, price)[0]) <= most
+
+
 def test_local_alignment_against_brute_force():
     rng = np.random.default_rng(1)
     for _ in range(20):
